@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -69,3 +70,17 @@ def held_out(doc_id: Column) -> Column:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucket_of(key: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` are at most ``key``: the key's range, from 0.
+
+    Searches in two steps, so a row costs about twice the square root of the bounds.
+    """
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    literal = lambda xs: F.array(*[F.lit(x) for x in xs])
+    coarse = F.size(F.filter(literal(bounds[::step]), lambda x: x <= key))
+    fine = F.size(F.filter(F.slice(literal(bounds), (coarse - 1) * step + 1, F.lit(step)), lambda x: x <= key))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + fine)
