@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, near_dedup, packing, quality, simhash, url_filter, warc
+from . import byte_bpe, chat, exact_dedup, licenses, near_dedup, packing, quality, simhash, url_filter, warc
 from .common import held_out, materialise, table
 
 
@@ -28,6 +28,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, share=85)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
+    "op4_licenses": op4_licenses,
     "op5_near_dedup": op5_near_dedup,
     "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
