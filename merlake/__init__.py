@@ -1,0 +1 @@
+"""merlake: k-mer indexes of sample collections and queries over them, on Spark DataFrames."""
