@@ -12,6 +12,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from .encode import packed, revcomp
 
@@ -22,7 +23,7 @@ def _md5(x: Column) -> Column:
     return F.conv(F.substr(F.md5(x.cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long")
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(DecimalType(20, 0))
 def _xxh64(codes: pd.Series) -> pd.Series:
     from decimal import Decimal
 

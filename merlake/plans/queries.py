@@ -67,7 +67,7 @@ def _index(spark: SparkSession, sf_dir: str, params: IndexParams = EXACT, seqs:
     return ix.build(docs, names, params, only=only)
 
 
-_SCORES = ("qid", "sample", "nbk", "count", F.round("ratio", 9).alias("ratio"))
+_SCORES = ("qid", "sample", "nbk", "count", "round(ratio, 9) AS ratio")
 
 
 def _ask(spark: SparkSession, sf_dir: str, z: int, params: IndexParams = EXACT, threshold: float = 0.0, positions: bool = False, seqs: DataFrame | None = None, sample: str = "source") -> DataFrame:
@@ -155,19 +155,19 @@ def index_masks(spark, sf_dir):
 
 
 def query_pa_z0(spark, sf_dir):
-    return _ask(spark, sf_dir, 0).select(*_SCORES)
+    return _ask(spark, sf_dir, 0).selectExpr(*_SCORES)
 
 
 def query_pa_z4(spark, sf_dir):
-    return _ask(spark, sf_dir, Z).select(*_SCORES)
+    return _ask(spark, sf_dir, Z).selectExpr(*_SCORES)
 
 
 def query_pa_threshold(spark, sf_dir):
-    return _ask(spark, sf_dir, Z, threshold=0.5).select(*_SCORES)
+    return _ask(spark, sf_dir, Z, threshold=0.5).selectExpr(*_SCORES)
 
 
 def query_pa_bloom(spark, sf_dir):
-    return _ask(spark, sf_dir, Z, BLOOM).select(*_SCORES)
+    return _ask(spark, sf_dir, Z, BLOOM).selectExpr(*_SCORES)
 
 
 def _joined(column: str) -> Column:
@@ -188,7 +188,7 @@ def query_abs(spark, sf_dir):
 
 
 def query_abs_ratio(spark, sf_dir):
-    return _ask(spark, sf_dir, Z, ABUNDANCE).select(*_SCORES)
+    return _ask(spark, sf_dir, Z, ABUNDANCE).selectExpr(*_SCORES)
 
 
 def query_abs_positions(spark, sf_dir):
@@ -203,7 +203,7 @@ def query_single_abs(spark, sf_dir):
 def query_multi_index(spark, sf_dir):
     asked = items(spark, sf_dir)
     both = {"by_source": _index(spark, sf_dir, seqs=asked), "by_lang": _index(spark, sf_dir, seqs=asked, sample="lang")}
-    return query.query_many(both, asked, Z).select("index", *_SCORES)
+    return query.query_many(both, asked, Z).selectExpr("index", *_SCORES)
 
 
 def _as_decimal(scores: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def _merged(spark, sf_dir, params, asked):
 
 def merge_pa(spark, sf_dir):
     asked = items(spark, sf_dir)
-    return query.query(_merged(spark, sf_dir, EXACT, asked), asked, Z).select(*_SCORES)
+    return query.query(_merged(spark, sf_dir, EXACT, asked), asked, Z).selectExpr(*_SCORES)
 
 
 def merge_abs(spark, sf_dir):
@@ -358,7 +358,7 @@ def compress_roundtrip(spark, sf_dir):
     """An index rewritten with zstandard and in another order of samples answers the same."""
     asked = items(spark, sf_dir)
     stored = layout.rewrite(_index(spark, sf_dir, BLOOM), _scratch(spark, "zstd"), similar=True, check=False)
-    return query.query(stored, asked, Z).select(*_SCORES)
+    return query.query(stored, asked, Z).selectExpr(*_SCORES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
