@@ -96,22 +96,29 @@ def reply_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     plain = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["tree", "node"])
     known = plain.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     base = plain.join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("up"), "score", F.lit(1).cast("long").alias("length"))
-    tables = [materialise(base, "up0")]
-    total = tables[0].count()
-    while (1 << len(tables)) <= 2 * total:
-        now = tables[-1]
-        if now.where("up is not null").isEmpty():
-            break
-        above = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("score").alias("s"), F.col("length").alias("l"))
-        joined = now.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left")
-        tables.append(materialise(joined.select("tree", "node", F.col("u").alias("up"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("l", F.lit(0))).alias("length")), f"up{len(tables)}"))
-    replied = tables[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
-    leaves = tables[-1].where("up is null").join(replied, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    # at each power: the nodes whose ancestor at that distance is there, and those whose root is nearer
+    state = materialise(base, "up0")
+    total = state.count()
+    rising, rooted = [state.where("up is not null")], [state.where("up is null")]
+    while (1 << len(rising)) <= 2 * total and not rising[-1].isEmpty():
+        every = rising[-1]
+        for part in rooted:
+            every = every.unionByName(part)
+        above = every.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("score").alias("s"), F.col("length").alias("l"))
+        joined = rising[-1].join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+        state = materialise(joined.select("tree", "node", F.col("u").alias("up"), (F.col("score") + F.col("s")).alias("score"), (F.col("length") + F.col("l")).alias("length")), f"up{len(rising)}")
+        rising.append(state.where("up is not null"))
+        rooted.append(state.where("up is null"))
+    whole = rooted[0]
+    for part in rooted[1:]:
+        whole = whole.unionByName(part)
+    replied = rising[0].select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
+    leaves = whole.join(replied, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("length").desc(), "node")
     chosen = leaves.withColumn("path", F.row_number().over(order) - 1).where(F.col("path") < top)
     rows = materialise(chosen.select("tree", "path", "node", (F.col("length") - 1).alias("position")), "leaves")
-    for power in range(len(tables) - 1, -1, -1):
-        above = tables[power].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    for power in range(len(rising) - 1, -1, -1):
+        above = rising[power].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         found = rows.join(above, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "path", F.col("up").alias("node"), (F.col("position") - (1 << power)).alias("position"))
         rows = rows.unionByName(found)
         if power % 4 == 0:
