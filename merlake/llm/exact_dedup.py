@@ -86,8 +86,10 @@ class CountingQuotientFilter:
     def blocks(self, block_bits: int) -> Iterator[tuple[int, bytes, bytes]]:
         """(block, fingerprints, counts) by the highest bits of the quotient."""
         whole = self.fingerprints()
+        if not len(whole):
+            return
         block = (whole >> np.uint64(64 - block_bits)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         for a, b in zip(first, [*first[1:], len(block)], strict=True):
             yield int(block[a]), whole[a:b].tobytes(), self.counts[a:b].tobytes()
 
