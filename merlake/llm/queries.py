@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, licenses, near_dedup, packing, quality, simhash, url_filter, warc
-from .common import held_out, materialise, table
+from . import byte_bpe, chat, common, exact_dedup, licenses, near_dedup, packing, quality, simhash, url_filter, warc
+from .common import held_out, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
