@@ -27,7 +27,7 @@ from .components import connected_components
 
 COORDINATES, MATCHES = 32, 16
 #: Documents of a candidate cluster that meet in one task; larger clusters go by pairs of blocks.
-BLOCK = 4096
+BLOCK = 512
 
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[0x20, 9, 10, 11, 12, 13]] = True
