@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .encode import canonical, is_dna, revcomp
+from .encode import is_dna, revcomp
 
-_CHUNKS = (1 << 24, 1 << 16, 1 << 8)
+_CHUNKS = (1 << 24, 1 << 15, 1 << 7)
 
 
 def check_k(k: int) -> int:
@@ -21,24 +21,43 @@ def check_k(k: int) -> int:
     return k
 
 
-def kmers(seqs: DataFrame, k: int, keep: list[str], seq_col: str = "seq") -> DataFrame:
-    """``keep``, pos and kmer of every k-mer of each row, as it stands (pos from 0, upper case)."""
+def _chunks(seqs: DataFrame, k: int, keep: list[str], seq_col: str) -> DataFrame:
+    """``keep``, __at and __s: overlapping chunks that together have every k-mer once.
+
+    A sequence shorter than k has a null array of chunks, and so no rows.
+    """
     check_k(k)
-    # the guards hold where Spark evaluates an array before it filters the rows
     reach = F.when(F.length("__s") >= k, F.length("__s") - k)
-    out = seqs.where(F.length(seq_col) >= k).select(*keep, F.lit(0).cast("long").alias("__at"), F.upper(F.col(seq_col)).alias("__s"))
+    out = seqs.select(*keep, F.lit(0).cast("long").alias("__at"), F.upper(F.col(seq_col)).alias("__s"))
     for size in _CHUNKS:
         starts = F.sequence(F.lit(0), reach, F.lit(size))
         width = F.lit(size + k - 1)
         cut = F.transform(starts, lambda i: F.struct(i.alias("i"), F.substr(F.col("__s"), i + 1, width).alias("s")))  # noqa: B023
         out = out.select(*keep, "__at", F.explode(cut).alias("__c")).select(*keep, (F.col("__at") + F.col("__c.i")).alias("__at"), F.col("__c.s").alias("__s"))
-    out = out.select(*keep, "__at", "__s", F.explode(F.sequence(F.lit(0), reach)).alias("__i"))
+    return out
+
+
+def _each(k: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.when(F.length("__s") >= k, F.length("__s") - k))).alias("__i")
+
+
+def kmers(seqs: DataFrame, k: int, keep: list[str], seq_col: str = "seq") -> DataFrame:
+    """``keep``, pos and kmer of every k-mer of each row, as it stands (pos from 0, upper case)."""
+    out = _chunks(seqs, k, keep, seq_col).select(*keep, "__at", "__s", _each(k))
     return out.select(*keep, (F.col("__at") + F.col("__i")).alias("pos"), F.substr("__s", F.col("__i") + 1, F.lit(k)).alias("kmer"))
 
 
 def canonical_kmers(seqs: DataFrame, k: int, keep: list[str], seq_col: str = "seq") -> DataFrame:
-    """As ``kmers``, but canonical, and without k-mers that hold other letters than ACGT."""
-    return kmers(seqs, k, keep, seq_col).where(is_dna(F.col("kmer"))).withColumn("kmer", canonical(F.col("kmer")))
+    """As ``kmers``, but canonical, and without k-mers that hold other letters than ACGT.
+
+    Both strands are cut from their chunk, whose other strand is made once, as is the test
+    whether it has any other letters.
+    """
+    chunks = _chunks(seqs, k, keep, seq_col).select(*keep, "__at", "__s", revcomp(F.col("__s")).alias("__r"), is_dna(F.col("__s")).alias("__clean"))
+    out = chunks.select(*keep, "__at", "__s", "__r", "__clean", _each(k))
+    ahead = F.substr("__s", F.col("__i") + 1, F.lit(k))
+    back = F.substr("__r", F.length("__s") - k - F.col("__i") + 1, F.lit(k))
+    return out.where(F.col("__clean") | is_dna(ahead)).select(*keep, (F.col("__at") + F.col("__i")).alias("pos"), F.least(ahead, back).alias("kmer"))
 
 
 def minimizer(kmer: Column, k: int, m: int) -> Column:

@@ -83,9 +83,13 @@ def count_kmers(seqs: DataFrame, k: int, hard_min: int = 1, only: DataFrame | No
 
 
 def key_columns(params: IndexParams, kmer: Column) -> dict[str, Column]:
-    """The key columns that a k-mer has in an index."""
+    """The key columns that a k-mer has in an index.
+
+    They can't be null, which spares Spark a test of the hash on every k-mer before it joins.
+    """
+    sure = lambda c: F.coalesce(c, F.lit(0))
     part = partition_of(minimizer(kmer, params.k, params.m), params.partitions, params.hash) if params.partitions > 1 else F.lit(0)
-    return {"part": part, "kmer": kmer} if params.exact else {"part": part, "cell": cell(kmer, params.window, params.hash)}
+    return {"part": sure(part), "kmer": kmer} if params.exact else {"part": sure(part), "cell": sure(cell(kmer, params.window, params.hash))}
 
 
 def build(seqs: DataFrame, samples: list[str], params: IndexParams, hard_min: int = 1, only: DataFrame | None = None) -> Index:

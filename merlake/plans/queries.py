@@ -39,13 +39,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Dealt over the cores if the input has fewer splits, as one small file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str, sample: str = "source", where: str | None = None) -> tuple[DataFrame, list[str]]:
     """(sample_idx, seq) of all documents, and the samples' names in order."""
     docs = _table(spark, sf_dir, "documents").where(F.col(sample).isNotNull())
     docs = docs.where(where) if where else docs
     names = sorted(r[0] for r in docs.select(sample).distinct().collect())
     number = spark.createDataFrame(list(enumerate(names)), "sample_idx int, name string")
-    texts = docs.select(F.col(sample).alias("name"), "text").repartition(spark.sparkContext.defaultParallelism)
+    texts = _spread(docs.select(F.col(sample).alias("name"), "text"))
     return texts.join(F.broadcast(number), "name").select("sample_idx", as_dna("text").alias("seq")), names
 
 
