@@ -153,21 +153,23 @@ def scan_paragraphs(docs: DataFrame, model: LicenseModel, threshold: float = 0.5
     """
     spark = docs.sparkSession
     anchors = sorted({w for g in model.weights for w in g.split() if w not in STOP_WORDS})
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    worded = lines.select("doc_id", "text_hash", "paragraph", words(F.col("line")).alias("words"))
+    # the words come out of the generator (an outer one, whose input is not also made for a filter), so they are made once
+    lines = F.transform(F.split(text_col, "\n"), words)
+    worded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode_outer(lines).alias("paragraph", "words"))
     # a paragraph without any of the templates' words has no features and is unknown
-    likely = worded.where(F.arrays_overlap("words", F.array(*[F.lit(a) for a in anchors]))).withColumn("grams", _grams_of("words")).drop("words").distinct()
+    likely = worded.where(F.arrays_overlap("words", F.split(F.lit(" ".join(anchors)), " ")))
+    likely = likely.select("doc_id", "text_hash", "paragraph", _grams_of("words").alias("grams")).distinct()
     k = len(model.classes)
     table = spark.createDataFrame([(g, w) for g, w in sorted(model.weights.items())], "gram string, w array<double>")
-    each = likely.select("*", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
+    each = likely.select("*", F.explode_outer("grams").alias("gram")).join(F.broadcast(table), "gram")
     key = ["doc_id", "text_hash", "paragraph", "grams"]
-    logits = each.groupBy(*key).agg(*[F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(k)])
-    scaled = [((F.round(F.col(f"z{c}"), 9) + model.bias[c]) / model.temperature).alias(f"z{c}") for c in range(k)]
-    logits = logits.select(*key, *scaled)
-    top = F.greatest(*[F.col(f"z{c}") for c in range(k)])
-    total = sum((F.exp(F.col(f"z{c}") - top) for c in range(1, k)), F.exp(F.col("z0") - top))
-    family = F.coalesce(*[F.when(F.col(f"z{c}") == top, F.lit(model.classes[c])) for c in range(k)])
-    judged = logits.select(*key, family.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= threshold))
+    sums = each.groupBy(*key).agg(F.array(*[F.round(F.sum(F.col("w")[c]), 9) for c in range(k)]).alias("sums"))
+    numbered = F.array(*[F.struct(F.lit(model.bias[c]).alias("b"), F.lit(c).alias("c")) for c in range(k)])
+    logits = sums.select(*key, F.zip_with("sums", numbered, lambda z, n: F.struct(((z + n.b) / model.temperature).alias("z"), n.c.alias("c"))).alias("logits"))
+    best = logits.select(*key, "logits", F.array_max("logits").alias("top"))
+    total = F.aggregate("logits", F.lit(0.0), lambda t, x: t + F.exp(x.z - F.col("top.z")))
+    family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("top.c") + 1)
+    judged = best.select(*key, family.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= threshold))
     pairs = [(name, sorted({f"{a} {b}" for a, b in zip(own, own[1:], strict=False)})) for name, statements in sorted(TEMPLATES.items()) for own in map(_words, statements)]
     templates = spark.createDataFrame(pairs, "family string, pairs array<string>")
     held = F.size(F.array_intersect("grams", "pairs")) >= contained * F.size("pairs")
