@@ -72,6 +72,11 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def longs(values: list[int]) -> Column:
+    """A literal array of longs, made from one string however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def bucket_of(key: Column, bounds: list) -> Column:
     """How many of the sorted ``bounds`` are at most ``key``: the key's range, from 0.
 
@@ -80,7 +85,7 @@ def bucket_of(key: Column, bounds: list) -> Column:
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
-    literal = lambda xs: F.array(*[F.lit(x) for x in xs])
+    literal = longs if all(isinstance(b, int) for b in bounds) else lambda xs: F.array(*[F.lit(x) for x in xs])
     coarse = F.size(F.filter(literal(bounds[::step]), lambda x: x <= key))
     fine = F.size(F.filter(F.slice(literal(bounds), (coarse - 1) * step + 1, F.lit(step)), lambda x: x <= key))
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + fine)

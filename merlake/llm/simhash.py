@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_CLASS, bucket_of, parts
+from .common import WHITE_CLASS, bucket_of, longs, parts
 
 BITS = 64
 
@@ -77,23 +77,21 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = parts(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n).alias("q")).first().q or []
+    n = 4 * parts(spark)  # ranges are hashed to tasks, so several a task even out
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("q")).first().q or []
     bounds = sorted(set(cuts))
     ranged = rows.withColumn("range", bucket_of(F.col("doc_id"), bounds))
     ranged = ranged.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("range")))
     tops = {r.range: r.top for r in ranged.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # a row a range
     order = sorted(tops, reverse=True)
     ahead = {b: order[k - 1] for k, b in enumerate(order)}  # the range whose last row comes before b's first
-    first = F.lit(False)
-    target = F.lit(None).cast("int")
-    for b in order:
-        target = F.when(F.col("range") == b, F.lit(ahead[b])).otherwise(target)
-        if tops[b] is not None:
-            first = first | ((F.col("range") == b) & (F.col("doc_id") == tops[b]))
-        else:
-            first = first | (F.col("range") == b)
-    places = F.when(F.coalesce(first, F.lit(False)), F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("guest")), F.struct(target.alias("r"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("guest"))))
+    slots = range(-1, len(bounds) + 1)
+    at = F.col("range") + 2
+    top = F.element_at(longs([tops.get(b) or 0 for b in slots]), at)
+    target = F.element_at(longs([ahead.get(b, 0) for b in slots]), at).cast("int")
+    first = F.col("doc_id").eqNullSafe(F.when(F.col("range") >= 0, top))
+    place = lambda r, guest: F.struct(r.alias("r"), F.lit(guest).alias("guest"))
+    places = F.when(first, F.array(place(F.col("range"), False), place(target, True))).otherwise(F.array(place(F.col("range"), False)))
     dealt = ranged.select("doc_id", "text", F.explode(places).alias("p")).select(F.col("p.r").alias("r"), F.col("p.guest").alias("guest"), "doc_id", "text")
     line = Window.partitionBy("r").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     lined = dealt.select("r", "guest", "doc_id", "text", F.row_number().over(line).alias("k"), F.lead("text").over(line).alias("next_text"))
