@@ -1,16 +1,18 @@
 """Compression classifier for text quality.
 
-Two zstandard dictionaries are trained, one from good and one from bad labelled texts.  A
-text is compressed once with each; the difference of the two sizes, divided by their mean,
-says which kind of text it resembles.  A logistic
-curve fitted on labelled texts that the dictionaries have not seen turns it into a score.
+Two zstandard dictionaries hold good and bad labelled texts.  A text is compressed once with
+each; the difference of the two sizes, divided by their mean, says which kind of text it
+resembles.  A logistic curve, fitted on labelled texts that the dictionaries have not seen,
+calibrates the difference to a score.  How far a difference can be trusted depends on how
+long the text is and on how well it compresses at all, so the curve takes the logarithms of
+the mean size and of the compression ratio beside it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Two dictionaries and the calibration: slope and intercept on the difference."""
+    """Two dictionaries, the curve's weights on ``Scorer.features``, and the score without a text."""
 
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    weights: tuple[float, ...]
+    prior: float
     level: int
 
     def scorer(self) -> Scorer:
@@ -45,58 +47,58 @@ class Scorer:
                 d.precompute_compress(level=model.level)
         self.tools = [zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in given]
 
-    def difference(self, text: str | None) -> float:
-        """Positive where the good dictionary saves more; 0 for an empty text."""
-        data = (text or "").encode()
-        if not data:
-            return 0.0
+    def features(self, text: str) -> tuple[float, float, float, float]:
+        """The difference (positive where the good dictionary saves more), log size, log ratio, 1."""
+        data = text.encode()
         good, bad = (len(t.compress(data)) for t in self.tools)
-        return 2 * (bad - good) / (bad + good)
+        mean = (good + bad) / 2
+        return (bad - good) / mean, math.log(mean), math.log(mean / len(data)), 1.0
 
     def score(self, text: str | None) -> float:
-        x = self.model.slope * self.difference(text) + self.model.intercept
+        if not text or not any(self.model.weights):
+            return self.model.prior
+        x = sum(w * f for w, f in zip(self.model.weights, self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, good_share: float) -> tuple[float, float]:
-    """Logistic regression on one feature by Newton's method, with smoothed targets.
+def _fit_curve(design: np.ndarray, y: np.ndarray, good_share: float) -> tuple[float, ...]:
+    """Logistic regression by Newton's method, with smoothed targets and a slight ridge.
 
     The rows are weighted so that good ones have the share of all labelled rows.
     """
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    design = np.stack([x, np.ones_like(x)], 1)
     weight = np.where(y == 1, good_share / n1, (1 - good_share) / n0) * len(y)
-    w = np.zeros(2)
+    w = np.zeros(design.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (weight * (p - target)) + 1e-6 * w
-        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2)
+        grad = design.T @ (weight * (p - target)) + 1e-3 * w
+        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step * min(1.0, 10 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return tuple(map(float, w))
 
 
 def train(rows: list[tuple[str, int]], dict_bytes: int = 1 << 20, level: int = 3, good_share: float | None = None) -> QualityModel:
     """Fit a model from (text, label) rows, label 1 for good.
 
     Every second row of each class feeds its dictionary, the others the calibration.  Where
-    a class has no rows, its dictionary is empty; with one class only, or none, the score is
+    a class has no rows, its dictionary is empty; with one class only, or none, every score is
     the smoothed share of good rows.
     """
     own = {c: [t for t, y in rows if y == c and t] for c in (0, 1)}
-    dictionaries = {c: _dictionary(texts[::2], dict_bytes) for c, texts in own.items()}
-    base = QualityModel(dictionaries[1], dictionaries[0], 0.0, 0.0, level)
+    good, bad = (_dictionary(own[c][::2], dict_bytes) for c in (1, 0))
+    if good_share is None:
+        good_share = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
+    base = QualityModel(good, bad, (0.0,) * 4, good_share, level)
     held = [(t, c) for c, texts in own.items() for t in texts[1::2]]
-    n1 = sum(y for _, y in rows)
-    prior = math.log((n1 + 1) / (len(rows) - n1 + 1))
     if len({c for _, c in held}) < 2:
-        return QualityModel(base.good, base.bad, 0.0, prior, level)
+        return base
     tools = base.scorer()
-    slope, intercept = _fit_curve(np.array([tools.difference(t) for t, _ in held]), np.array([c for _, c in held]), n1 / len(rows) if good_share is None else good_share)
-    return QualityModel(base.good, base.bad, slope, intercept, level)
+    weights = _fit_curve(np.array([tools.features(t) for t, _ in held]), np.array([c for _, c in held]), good_share)
+    return replace(base, weights=weights)
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -137,13 +139,13 @@ def fit(
     wanted = docs.sparkSession.createDataFrame(chosen, "__i long, __y int")  # at most 2 * per_class rows
     rows = texts.join(F.broadcast(wanted), "__i").select("__i", "__t", "__y").collect()
     rows.sort(key=lambda r: (r["__y"], hash(r["__i"]) * 2654435761 % 2**32, r["__t"]))
-    return train([(r["__t"], r["__y"]) for r in rows], dict_bytes, level, counts.get(1, 0) / max(1, sum(counts.values())))
+    return train([(r["__t"], r["__y"]) for r in rows], dict_bytes, level, (counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row, from the whole text alone.
 
-    A null or empty text scores as a difference of zero does.  Repeated rows each get a
+    A null or empty text scores the share of good rows among the labelled.  Repeated rows each get a
     score, null ids stay null, other columns are ignored, and an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
