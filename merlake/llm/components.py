@@ -34,6 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         both = state.union(state.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("x"), F.least("u", "w").alias("m"))
+        least = materialise(least, "least")  # with a shuffle of its own on either side, a hub's join can be split
         large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "x")
         small = large.join(lowest, F.col("a") == F.col("x")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
