@@ -97,6 +97,24 @@ SQL: dict[str, str] = {
             FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
         )
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f WHERE k = 1""",
+    "op5_near_dedup": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+            FROM t
+        ), n AS (
+            SELECT d.doc_id, count(g) AS n FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY 1
+        ), p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), l AS (
+            SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)
+        ), r(doc_id, c) AS (
+            SELECT doc_id, doc_id FROM n UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.doc_id
+        )
+        SELECT n.doc_id, n.n AS n_shingles, min(c) AS component_id, min(c) = n.doc_id AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n""",
     "op6_warc": r"""
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
