@@ -158,7 +158,9 @@ def scan_paragraphs(docs: DataFrame, model: LicenseModel, threshold: float = 0.5
     worded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode_outer(lines).alias("paragraph", "words"))
     # a paragraph without any of the templates' words has no features and is unknown
     likely = worded.where(F.arrays_overlap("words", F.split(F.lit(" ".join(anchors)), " ")))
-    likely = likely.select("doc_id", "text_hash", "paragraph", _grams_of("words").alias("grams")).distinct()
+    # of its n-grams only those with weights go on, a few however long it is
+    known = F.split(F.lit("\n".join(sorted(model.weights))), "\n")
+    likely = likely.select("doc_id", "text_hash", "paragraph", F.array_intersect(_grams_of("words"), known).alias("grams")).distinct()
     k = len(model.classes)
     table = spark.createDataFrame([(g, w) for g, w in sorted(model.weights.items())], "gram string, w array<double>")
     each = likely.select("*", F.explode_outer("grams").alias("gram")).join(F.broadcast(table), "gram")
@@ -170,7 +172,7 @@ def scan_paragraphs(docs: DataFrame, model: LicenseModel, threshold: float = 0.5
     total = F.aggregate("logits", F.lit(0.0), lambda t, x: t + F.exp(x.z - F.col("top.z")))
     family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("top.c") + 1)
     judged = best.select(*key, family.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= threshold))
-    pairs = [(name, sorted({f"{a} {b}" for a, b in zip(own, own[1:], strict=False)})) for name, statements in sorted(TEMPLATES.items()) for own in map(_words, statements)]
+    pairs = [(name, sorted({f"{a} {b}" for a, b in zip(own, own[1:], strict=False)} & set(model.weights))) for name, statements in sorted(TEMPLATES.items()) for own in map(_words, statements)]
     templates = spark.createDataFrame(pairs, "family string, pairs array<string>")
     held = F.size(F.array_intersect("grams", "pairs")) >= contained * F.size("pairs")
     return judged.join(F.broadcast(templates), "family").where(held).select("doc_id", "text_hash", "paragraph", "family", "probability").distinct()
