@@ -2,7 +2,7 @@
 
 A document's set of word shingles gets a signature of ``coordinates`` minima.  Documents
 are posted under each (coordinate, value) pair.  Two documents whose signatures agree in at
-least ``matches`` places must share one of the ``coordinates - matches + 1`` rarest postings
+least ``least_matches`` places must share one of the ``coordinates - least_matches + 1`` rarest postings
 of either (the prefix); the more frequent ones are skipped, which is what keeps passages
 that many documents share from pairing them.  Documents that share a posting list are
 brought together, agreements of their signatures are counted, pairs above the match
@@ -14,6 +14,7 @@ Equal sets are one class from the start, so copies never meet each other.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .components import connected_components
 
-COORDINATES, MATCHES = 32, 16
+COORDINATES = 32
 #: Documents of a candidate cluster that meet in one task; larger clusters go by pairs of blocks.
 BLOCK = 512
 
@@ -96,6 +97,18 @@ def signature(own: np.ndarray) -> np.ndarray:
     return np.array([_mix(own ^ seed).min() for seed in _SEEDS], np.uint64)
 
 
+def least_matches(share: int, miss: float = 1e-6) -> int:
+    """The match threshold: the most agreements that a pair of exactly ``share`` percent similarity
+    falls short of with a probability below ``miss``, each coordinate agreeing with that share."""
+    p, below, t = share / 100, 0.0, 0
+    while t < COORDINATES:
+        below += math.comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t)
+        if below >= miss:
+            break
+        t += 1
+    return max(1, t)
+
+
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +123,7 @@ def _sketch(words: int):
     return run
 
 
-def _links(members: pd.DataFrame, share: int, home: int | None, away: int | None) -> list[tuple[int, int]]:
+def _links(members: pd.DataFrame, share: int, matches: int, home: int | None, away: int | None) -> list[tuple[int, int]]:
     """Links that join the members' components; with two blocks, only those between them.
 
     Each document is compared with all others at once: first signatures, then, where enough
@@ -133,7 +146,7 @@ def _links(members: pd.DataFrame, share: int, home: int | None, away: int | None
         if not len(near):
             continue
         near = near + (i + 1 if home == away else 0)
-        near = near[(signs[near] == signs[i]).sum(1) >= MATCHES]
+        near = near[(signs[near] == signs[i]).sum(1) >= matches]
         for j in near:
             if label[j] == label[i]:
                 continue
@@ -163,7 +176,7 @@ def near_groups(docs: DataFrame, words: int = 5, share: int = 80, id_col: str =
     reps = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = materialise(reps.withColumn("rep_key", F.xxhash64("set_key")), "reps")
     # a document can stand for several sets if its id is repeated, so sets are numbered by their own key
-    clusters = materialise(_candidate_clusters(reps), "clusters")
+    clusters = materialise(_candidate_clusters(reps, least_matches(share)), "clusters")
     links = _confirmed_links(rows, reps, clusters, words, share)
     joined = connected_components(links)
     grouped = reps.select("set_key", "rep", "rep_key").join(joined, F.col("rep_key") == F.col("node"), "left").select("set_key", "rep", F.coalesce("component", "rep_key").alias("part"))
@@ -180,7 +193,7 @@ def _name_components(grouped: DataFrame) -> DataFrame:
     return grouped.join(least, F.col("part") == F.col("p")).select("set_key", "component_id")
 
 
-def _candidate_clusters(reps: DataFrame) -> DataFrame:
+def _candidate_clusters(reps: DataFrame, matches: int) -> DataFrame:
     """(rep_key, cluster) of the representatives that share a prefix posting with another."""
     posted = reps.select("rep_key", F.posexplode("sig").alias("c", "v")).select("rep_key", F.xxhash64("c", "v").alias("posting"))
     posted = materialise(posted, "postings")
@@ -189,7 +202,7 @@ def _candidate_clusters(reps: DataFrame) -> DataFrame:
     # postings of one document alone come first in the order of rarity, so they use up the prefix
     ranked = common.groupBy("rep_key").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     room = F.col("prefix") - (F.lit(COORDINATES) - F.size("ps"))
-    prefix = ranked.withColumn("prefix", F.lit(COORDINATES - MATCHES + 1)).withColumn("room", room).where("room > 0")
+    prefix = ranked.withColumn("prefix", F.lit(COORDINATES - matches + 1)).withColumn("room", room).where("room > 0")
     edges = prefix.select("rep_key", F.explode(F.slice("ps", 1, F.col("room").cast("int"))).alias("p")).select(F.col("rep_key").alias("a"), F.col("p.posting").alias("posting"))
     # of a list, the documents that have it in their prefix are joined to the smallest of them
     heads = edges.groupBy("posting").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("posting", "q")
@@ -219,9 +232,11 @@ def _confirmed_links(rows: DataFrame, reps: DataFrame, clusters: DataFrame, word
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("home"), F.greatest(k, F.col("block")).alias("away")))
     dealt = full.withColumn("pair", F.explode(others)).select("*", "pair.home", "pair.away").drop("pair")
 
+    matches = least_matches(share)
+
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("rep").sort_values("rep", kind="stable")
-        return pd.DataFrame(_links(part, share, int(key[1]), int(key[2])), columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(_links(part, share, matches, int(key[1]), int(key[2])), columns=["a", "b"]).astype("int64")
 
     return dealt.groupBy("cluster", "home", "away").applyInPandas(run, "a long, b long")
 
