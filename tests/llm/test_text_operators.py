@@ -355,3 +355,12 @@ def test_packing_of_many_chunks(spark):
     assert sorted(r.doc_id for r in packed) == list(range(3000))
     n = _check_bins([(r.sequence_id, r.offset, r.length) for r in packed], 1024)
     assert n <= -(-sum(lengths) // 1024) * 1.01 + 1
+
+
+@pytest.mark.parametrize("share", [50, 80, 85, 95])
+def test_match_threshold(share):
+    from math import comb
+
+    n, p, t = near_dedup.COORDINATES, share / 100, near_dedup.least_matches(share)
+    below = lambda k: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
+    assert below(t) < 1e-6 <= below(t + 1)
