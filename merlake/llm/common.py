@@ -76,6 +76,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def smallest_hashes(rows: DataFrame, hashed: Column, need: int, total: int) -> list:
+    """The ``need`` rows with the smallest hash, the same in every run; ``total`` is their number.
+
+    A bound on the hash leaves about four times as many as are needed, so that the tasks
+    together send little however many they are; should it leave too few, it is dropped.
+    """
+    own = rows.withColumn("__hash", F.pmod(hashed, F.lit(1 << 32)))
+    bound = min(1 << 32, (1 << 34) * need // max(total, 1))
+    found = own.where(F.col("__hash") < bound).orderBy(*own.columns[::-1]).limit(need).drop("__hash").collect()
+    if len(found) < need and bound < 1 << 32:
+        found = own.orderBy(*own.columns[::-1]).limit(need).drop("__hash").collect()
+    return found
+
+
 def longs(values: list[int]) -> Column:
     """A literal array of longs, made from one string however many there are."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")

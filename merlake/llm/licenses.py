@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest_hashes
+
 UNKNOWN = "unknown"
 
 #: Statements by which works name their licence, by family.
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, sample_docs: int = 200, max_chars: int = 1 << 14, id_co
     the words of a template are left out of it, as they may be licences.
     """
     rows = docs.where(F.length(text_col).between(1, max_chars)).select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
-    texts = sorted(r.t for r in rows.orderBy("h").limit(sample_docs).select("t").collect())
+    texts = sorted(r.t for r in smallest_hashes(rows, F.col("h"), sample_docs, docs.count()))
     lines = [x for t in texts for x in t.split("\n") if x.strip()]
     sets = [{w for w in _words(t) if w not in STOP_WORDS} for ts in TEMPLATES.values() for t in ts]
     return train([x for x in lines if not any(len(s & set(_words(x))) * 2 >= len(s) for s in sets)])
