@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest_hashes
+
 
 @dataclass(frozen=True)
 class QualityModel:
@@ -132,8 +134,8 @@ def fit(
     texts = docs.where(F.length(text_col).between(1, max_chars)).select(F.col(id_col).cast("long").alias("__i"), F.col(text_col).alias("__t"))
     chosen: list[tuple[int, int]] = []
     for label in (0, 1):
-        order = (F.xxhash64("__i"), F.col("__i"))
-        chosen += [(r["__i"], label) for r in known.where(F.col("__y") == label).orderBy(*order).limit(per_class).collect()]
+        own = known.where(F.col("__y") == label).select("__i")
+        chosen += [(r["__i"], label) for r in smallest_hashes(own, F.xxhash64("__i"), per_class, counts.get(label, 0))]
     if not chosen:
         return train([], dict_bytes, level)
     wanted = docs.sparkSession.createDataFrame(chosen, "__i long, __y int")  # at most 2 * per_class rows
