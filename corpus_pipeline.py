@@ -34,7 +34,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing into sequences of 1,024 tokens."""
     ranks = packing.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return packing.pack(packing.pieces(docs, ranks, public_tokenizers.PATTERN, end_id=2))
+    added = packing.load_added(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(packing.pieces(docs, ranks, public_tokenizers.PATTERN, end_id=2, added=added))
 
 
 STAGES = [

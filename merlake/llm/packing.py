@@ -11,6 +11,7 @@ many chunks meet in further, smaller rounds.
 from __future__ import annotations
 
 import base64
+import json
 import math
 import zlib
 from bisect import bisect_left, insort
@@ -33,6 +34,16 @@ def load_ranks(spark, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def load_added(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file, which it matches in raw text, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        rows = json.load(f)["added_tokens"]
+    added = {r["content"]: r["id"] for r in rows}
+    if any(r["single_word"] or r["lstrip"] or r["rstrip"] or r["normalized"] for r in rows) or any(a != b and a in b for a in added for b in added):
+        raise ValueError("only added tokens that match literally and do not hold one another")
+    return added
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of each piece: whole ones of ``capacity`` after a first, shorter one."""
     first = n % capacity
@@ -40,23 +51,24 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, min(capacity, (first or capacity) if s == 0 else capacity)) for s in starts]
 
 
-def pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document's pieces.
 
-    The vocabulary is byte-level BPE; strings of its special tokens are ordinary text.  A
-    null text is empty and gives a piece with the end id alone.  Repeated rows give their
+    The vocabulary is byte-level BPE.  A text is split at the strings of ``added``, which get
+    their ids; strings of other special tokens are ordinary text.  A null text is empty and
+    gives a piece with the end id alone.  Repeated rows give their
     pieces each time; null ids stay null; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
+        encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=shared.value, special_tokens=added or {})
         end = np.array([end_id], "<u4")
         for batch in batches:
             out: list[list] = [[] for _ in range(5 + with_ids)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=())
+                found = encoding.encode_to_numpy(text.as_py() or "", allowed_special="all", disallowed_special=())
                 ids = np.concatenate([found.astype("<u4", copy=False), end])
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]

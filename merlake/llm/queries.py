@@ -60,7 +60,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = packing.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    rows = packing.pieces(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, end_id=2, capacity=1024)
+    added = packing.load_added(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pieces(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, end_id=2, capacity=1024, added=added)
     return packing.pack(rows, capacity=1024)
 
 

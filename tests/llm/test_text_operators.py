@@ -11,8 +11,10 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from merlake.llm import byte_bpe, components, exact_dedup, near_dedup, packing, quality, simhash
 from merlake.llm.common import WHITE, bucket_of
+from merlake.llm.queries import op10_packing
 
 from .helpers import WORDS, edge_docs, empty_docs, prose
 
@@ -317,6 +319,22 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(empty_docs(spark), ranks, public_tokenizers.PATTERN, 2)).count() == 0
 
 
+def test_added_tokens_in_raw_text(spark, tmp_path):
+    """op10 and the pipeline's stage against the tokenizer as it is loaded, without settings."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, end * 3, f"{end}a", f"a  {end}  b \n", f"it's{end}'s", "<|endoftext|", f"<{end}>", f"x {end} y " * 700, "plain", "", None]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    want = []
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        want += [(i, k, a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())) for k, (a, n) in enumerate(packing.cut(len(ids), 1024))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (op10_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got.collect()) == want
+
+
 def _check_bins(rows, capacity):
     bins = defaultdict(list)
     for b, at, n in rows:
