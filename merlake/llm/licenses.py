@@ -146,14 +146,40 @@ def _grams_of(column: str) -> Column:
     return F.array_distinct(F.concat(own, two, three))
 
 
+def _template_pairs(model: LicenseModel) -> list[tuple[str, list[str]]]:
+    """(family, word pairs that have weights) of every template."""
+    return [(name, sorted({f"{a} {b}" for a, b in zip(own, own[1:], strict=False)} & set(model.weights))) for name, statements in sorted(TEMPLATES.items()) for own in map(_words, statements)]
+
+
+def _judge(likely: DataFrame, key: list[str], model: LicenseModel, threshold: float, contained: float) -> DataFrame:
+    """(*key, family, probability, held) of the rows of (*key, grams) that name a licence; held counts word pairs."""
+    spark = likely.sparkSession
+    k = len(model.classes)
+    table = spark.createDataFrame([(g, w) for g, w in sorted(model.weights.items())], "gram string, w array<double>")
+    each = likely.select("*", F.explode_outer("grams").alias("gram")).join(F.broadcast(table), "gram")
+    by = [*key, "grams"]
+    sums = each.groupBy(*by).agg(F.array(*[F.round(F.sum(F.col("w")[c]), 9) for c in range(k)]).alias("sums"))
+    numbered = F.array(*[F.struct(F.lit(model.bias[c]).alias("b"), F.lit(c).alias("c")) for c in range(k)])
+    logits = sums.select(*by, F.zip_with("sums", numbered, lambda z, n: F.struct(((z + n.b) / model.temperature).alias("z"), n.c.alias("c"))).alias("logits"))
+    best = logits.select(*by, "logits", F.array_max("logits").alias("top"))
+    total = F.aggregate("logits", F.lit(0.0), lambda t, x: t + F.exp(x.z - F.col("top.z")))
+    family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("top.c") + 1)
+    judged = best.select(*by, family.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= threshold))
+    templates = spark.createDataFrame(_template_pairs(model), "family string, pairs array<string>")
+    held = judged.join(F.broadcast(templates), "family").select("*", F.size(F.array_intersect("grams", "pairs")).alias("held")).where(F.col("held") >= contained * F.size("pairs"))
+    return held.groupBy(*key, "family").agg(F.max("probability").alias("probability"), F.max("held").alias("held"))
+
+
 def scan_paragraphs(docs: DataFrame, model: LicenseModel, threshold: float = 0.5, contained: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, paragraph, family, probability) of the paragraphs that name a licence.
 
     A paragraph is a line of the text, numbered from 0.  It is reported if its likeliest class
     is a family of at least ``threshold`` and it holds at least ``contained`` of the word
-    pairs of one of that family's templates.
+    pairs of one of that family's templates.  A block, lines up to one without words, is
+    reported by the first of its neighbouring lines that name a family together, once for
+    each family that none of its lines names alone.  What is only a part of another family's
+    statement that holds more pairs isn't reported, be it one line or several.
     """
-    spark = docs.sparkSession
     anchors = sorted({w for g in model.weights for w in g.split() if w not in STOP_WORDS})
     # the words come out of the generator (an outer one, whose input is not also made for a filter), so they are made once
     lines = F.transform(F.split(text_col, "\n"), words)
@@ -163,28 +189,64 @@ def scan_paragraphs(docs: DataFrame, model: LicenseModel, threshold: float = 0.5
     # of its n-grams only those with weights go on, a few however long it is
     known = F.split(F.lit("\n".join(sorted(model.weights))), "\n")
     likely = likely.select("doc_id", "text_hash", "paragraph", F.array_intersect(_grams_of("words"), known).alias("grams")).distinct()
-    k = len(model.classes)
-    table = spark.createDataFrame([(g, w) for g, w in sorted(model.weights.items())], "gram string, w array<double>")
-    each = likely.select("*", F.explode_outer("grams").alias("gram")).join(F.broadcast(table), "gram")
-    key = ["doc_id", "text_hash", "paragraph", "grams"]
-    sums = each.groupBy(*key).agg(F.array(*[F.round(F.sum(F.col("w")[c]), 9) for c in range(k)]).alias("sums"))
-    numbered = F.array(*[F.struct(F.lit(model.bias[c]).alias("b"), F.lit(c).alias("c")) for c in range(k)])
-    logits = sums.select(*key, F.zip_with("sums", numbered, lambda z, n: F.struct(((z + n.b) / model.temperature).alias("z"), n.c.alias("c"))).alias("logits"))
-    best = logits.select(*key, "logits", F.array_max("logits").alias("top"))
-    total = F.aggregate("logits", F.lit(0.0), lambda t, x: t + F.exp(x.z - F.col("top.z")))
-    family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("top.c") + 1)
-    judged = best.select(*key, family.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= threshold))
-    pairs = [(name, sorted({f"{a} {b}" for a, b in zip(own, own[1:], strict=False)} & set(model.weights))) for name, statements in sorted(TEMPLATES.items()) for own in map(_words, statements)]
-    templates = spark.createDataFrame(pairs, "family string, pairs array<string>")
-    held = F.size(F.array_intersect("grams", "pairs")) >= contained * F.size("pairs")
-    return judged.join(F.broadcast(templates), "family").where(held).select("doc_id", "text_hash", "paragraph", "family", "probability").distinct()
+    key = ["doc_id", "text_hash", "paragraph"]
+    found = _judge(likely, key, model, threshold, contained).drop("held")
+    by = ["doc_id", "text_hash", "block"]
+    runs = _windows(docs, model, contained, id_col, text_col).select(*by, "at", "n", F.array_intersect(_grams_of("words"), known).alias("grams")).distinct()
+    named = _judge(runs, [*by, "at", "n"], model, threshold, contained)
+    blocks = named.groupBy(*by).agg(F.collect_list(F.struct("family", "at", "n", "held", "probability")).alias("runs"))
+    inside = lambda x, y: (x.at >= y.at) & (x.at + x.n <= y.at + y.n)
+    meet = lambda x, y: (x.at < y.at + y.n) & (y.at < x.at + x.n)
+    better = lambda x, y: (y.held > x.held) | ((y.held == x.held) & (y.n < x.n))
+    # a statement's shortest runs that name its family, and the run that holds most of it
+    least = F.filter("runs", lambda x: ~F.exists("runs", lambda y: (y.family == x.family) & (y.n < x.n) & inside(y, x)))
+    most = F.filter("runs", lambda x: ~F.exists("runs", lambda y: (y.family == x.family) & meet(x, y) & better(x, y)))
+    part = lambda x: F.exists("most", lambda y: (y.family != x.family) & (y.held > x.held) & inside(x, y))
+    blocks = blocks.select(*by, least.alias("least"), most.alias("most")).select(*by, F.explode(F.transform("least", lambda x: F.struct(x.alias("run"), part(x).alias("part")))).alias("z"))
+    blocks = blocks.select(*by, "z.part", "z.run.*")
+    parts = blocks.where("part and n = 1").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("at").alias("line"), F.col("family").alias("f"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("paragraph") == F.col("line")) & (F.col("family") == F.col("f"))
+    joined = blocks.where("not part").groupBy(*by, "family").agg(F.min("at").alias("paragraph"), F.max("probability").alias("probability"), F.min("n").alias("n")).where("n > 1")
+    return found.join(parts, same, "left_anti").unionByName(joined.select("doc_id", "text_hash", "paragraph", "family", "probability"))
+
+
+def _windows(docs: DataFrame, model: LicenseModel, contained: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, block, at, n, words) of runs of ``n`` neighbouring lines of the blocks.
+
+    A block is named by its first line, a run starts at line ``at``.  From each line the longest run goes on to the line in which a
+    template that starts in the first must have ended; each shorter run is a row too.  Only blocks of several lines that hold enough of a template have rows,
+    as no part of another can be reported.
+    """
+    longest = max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
+    pairs = [own for _, own in _template_pairs(model)]
+    need = [math.ceil(contained * len(own)) for own in pairs]
+    numbered = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("i"), words(x).alias("w")))
+    worded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.explode_outer(F.array(numbered)).alias("all"))
+    empty = lambda i: F.size(F.get("all", i)["w"]) == 0
+    firsts = F.filter("all", lambda x: (F.size(x.w) > 0) & F.when(x.i == 0, True).otherwise(empty(x.i - 1)))
+    lasts = F.filter("all", lambda x: (F.size(x.w) > 0) & F.when(x.i == F.size("all") - 1, True).otherwise(empty(x.i + 1)))
+    ends = F.zip_with(firsts, lasts, lambda x, y: F.struct(x.i.alias("a"), y.i.alias("b")))
+    cut = F.transform(F.filter(ends, lambda z: z.a < z.b), lambda z: F.struct(z.a.cast("int").alias("first"), F.transform(F.slice("all", z.a + 1, z.b - z.a + 1), lambda x: x.w).alias("lines")))
+    blocks = worded.select("doc_id", "text_hash", F.explode_outer(cut).alias("block")).select("doc_id", "text_hash", F.col("block.first").alias("block"), F.col("block.lines").alias("lines"))
+    own = F.flatten("lines")
+    both = F.zip_with(own, F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    known = F.split(F.lit("\n".join(sorted(set().union(*pairs)))), "\n")
+    blocks = blocks.where("lines is not null").select("*", F.array_intersect(both, known).alias("pairs")).where(F.size("pairs") >= min(need))
+    templates = F.array(*[F.struct(F.split(F.lit("\n".join(p)), "\n").alias("p"), F.lit(n).alias("n")) for p, n in zip(pairs, need, strict=True)])
+    blocks = blocks.where(F.exists(templates, lambda t: F.size(F.array_intersect(F.col("pairs"), t.p)) >= t.n))
+    starts = blocks.select("doc_id", "text_hash", "block", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("at"))
+    starts = starts.select("doc_id", "text_hash", "block", "at", F.slice("lines", F.col("at"), F.lit(longest + 1)).alias("lines"))
+    runs = starts.select("*", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("n"))
+    before = F.size(F.flatten(F.slice("lines", F.lit(2), F.greatest(F.col("n") - 2, F.lit(0)))))
+    return runs.where(before < longest).select("doc_id", "text_hash", "block", (F.col("block") + F.col("at") - 1).alias("at"), "n", F.flatten(F.slice("lines", F.lit(1), F.col("n"))).alias("words"))
 
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_licensed, families, probability.
 
-    families lists the families that its paragraphs name, sorted and joined by commas, or is
-    empty; probability is the highest of theirs, null if there is none.  A null or empty text
+    n_paragraphs counts lines; n_licensed the lines that name a licence, and each family that
+    only several lines of a block name together.  families lists the families that they
+    name, sorted and joined by commas, or is empty; probability is the highest of theirs, null if there is none.  A null or empty text
     has no paragraphs.  Repeated rows each get the answer, null ids stay null, other columns
     are ignored, and an empty table gives no rows.
     """

@@ -79,6 +79,42 @@ def test_licence_statements(spark, model):
     assert licenses.fit(docs, sample_docs=10).classes == model.classes and licenses.fit(docs.limit(0)).weights
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_wrapped_licence_texts(spark, model):
+    rng = random.Random(21)
+    plain = "\n".join(prose(rng, 12) for _ in range(5))
+    texts = {
+        "mit": [MIT, MIT.replace("\n", "\r\n"), plain + "\n" + MIT + "\n" + plain, "\n".join(MIT.split("\n")[4:7]).replace(" ", "\n")],
+        "bsd": [BSD, "/*\n" + "\n".join(" * " + x for x in BSD.split("\n")) + "\n */"],
+        "gpl-3.0": [GPL, "\n".join("# " + x for x in GPL.split("\n"))],
+        "bsd,mit": [MIT + "\n\n\n" + BSD, BSD.split(":")[0] + ".\n" + MIT.split("\n\n")[2]],
+        "": [plain, "\n" * 20_000, plain + "\n" + "\n".join(rng.sample(MIT.split(), 40))],
+    }
+    want = [(f, t) for f, own in texts.items() for t in own]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.scan(docs, model).select("doc_id", "families", "n_licensed", "n_paragraphs").collect())
+    assert got == [(i, f, len(f.split(",")) if f else 0, t.count("\n") + 1) for i, (f, t) in enumerate(want)]
+
+
 # ---------------------------------------------------------------- archives
 
 
