@@ -20,12 +20,16 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, parts
+from .common import discard, materialise, new_path, remove
 
 _BLOCK = 1 << 20
+#: Revisits that are sent to every task; each takes about 100 bytes there.
+BROADCAST_ROWS = 200_000
+#: Groups of archives that are normalised, and whose monoliths are deleted, one after the other.
+WAVES = 4
 
 
 # ---------------------------------------------------------------- records
@@ -94,19 +98,24 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def inflate(source: BinaryIO) -> Iterator[bytes]:
-    """The content of a gzip file of any number of members, read once from its start."""
-    tool = zlib.decompressobj(31)
+    """The content of a gzip file of any number of members, read once from its start.
+
+    A file that ends inside a member is an error, even where a record ends there.
+    """
+    tool, inside = zlib.decompressobj(31), False
     while raw := source.read(_BLOCK):
-        while raw:
+        full = True
+        while raw or full:
             out = tool.decompress(raw, _BLOCK)
+            full = len(out) == _BLOCK  # the tool may hold more
+            inside = True
             if out:
                 yield out
             raw = tool.unconsumed_tail
             if tool.eof:
-                raw = tool.unused_data
-                tool = zlib.decompressobj(31)
-                if not raw:
-                    break
+                raw, tool, inside, full = tool.unused_data, zlib.decompressobj(31), False, False
+    if inside:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def write_monolithic(path: str, records: Iterator[bytes], level: int = 1) -> int:
@@ -165,17 +174,23 @@ def read_index(path: str) -> Iterator[dict]:
 # ---------------------------------------------------------------- DataFrames
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def plan_records(pages: DataFrame, min_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, html, digest, size, refers_to): what to write for each page.
 
-    Only (id, digest) pairs are compared; the html itself is shuffled once, by page.
+    Only (id, digest) pairs are compared.  Up to ``broadcast_rows`` revisits are sent to the
+    tasks that read the pages, whose html then is not shuffled at all; more of them are
+    joined by page.
     """
     data = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha2(data, 256).alias("digest"), F.octet_length(data).cast("long").alias("size"))
-    slim = rows.select("page_id", "digest", "size").where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull())
+    slim = rows.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", F.unhex("digest").alias("digest"))
+    slim = materialise(slim, "digests")
     groups = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = slim.join(groups, "digest").where("page_id > first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
-    return rows.join(revisits, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
+    revisits = materialise(revisits, "revisits")
+    discard(slim)
+    few = revisits.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return rows.join(F.broadcast(revisits) if few else revisits, (F.col("page_id") == F.col("p")) & (F.unhex("digest") == F.col("d")), "left").drop("p", "d")
 
 
 def write_archives(plan: DataFrame, folder: str, level: int = 1) -> DataFrame:
@@ -201,8 +216,14 @@ def write_archives(plan: DataFrame, folder: str, level: int = 1) -> DataFrame:
     return materialise(plan.mapInArrow(run, "path string, n long").where("n > 0"), "archives")
 
 
-def normalise_archives(manifest: DataFrame, level: int = 1) -> DataFrame:
-    """Normalise every archive of a manifest; returns the manifest of the new ones."""
+def normalise_archives(manifest: DataFrame, level: int = 1, waves: int = 1, delete: bool = False) -> DataFrame:
+    """Normalise every archive of a manifest; returns the manifest of the new ones.
+
+    The archives are taken in ``waves``.  With ``delete``, a wave's sources are deleted once
+    the manifest of its targets is stored, so that only one wave's archives are there twice.
+    Until then a task that is lost finds its source again.
+    """
+    spark = manifest.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +232,21 @@ def normalise_archives(manifest: DataFrame, level: int = 1) -> DataFrame:
                 n = normalise(source, target, level)
                 yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n], pa.int64())], names=["path", "n"])
 
-    spread = manifest.repartition(parts(manifest.sparkSession), "path")
-    return materialise(spread.select("path").mapInArrow(run, "path string, n long"), "normalised")
+    paths = sorted(r.path for r in manifest.select("path").collect())  # a row an archive, so a row a task
+    out = None
+    for wave in range(max(1, waves)):
+        if own := paths[wave :: max(1, waves)]:
+            listed = _listed(spark, own).mapInArrow(run, "path string, n long")
+            done = materialise(listed, "normalised")
+            out = done if out is None else out.unionByName(done)
+            for path in own if delete else []:
+                remove(spark, path)
+    return manifest.limit(0) if out is None else out
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A table of paths, one a task."""
+    return spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1).repartition(len(paths))
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -244,7 +278,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         out, held = [[] for _ in names], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
-    spread = manifest.repartition(parts(manifest.sparkSession), "path").select("path")
+    paths = [r.path for r in manifest.select("path").collect()]  # a row an archive
+    spread = _listed(manifest.sparkSession, paths) if paths else manifest.select("path")
     return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
@@ -259,4 +294,4 @@ def roundtrip(pages: DataFrame, min_bytes: int = 100, level: int = 1, id_col: st
     """
     folder = new_path(pages.sparkSession, "warc")
     plan = plan_records(pages, min_bytes, id_col, url_col, html_col)
-    return read_archives(normalise_archives(write_archives(plan, folder, level), level))
+    return read_archives(normalise_archives(write_archives(plan, folder, level), level, WAVES, delete=True))
