@@ -5,7 +5,7 @@ pieces' lengths are packed.  Chunks of bounded size are packed side by side: bes
 falling length, then a local search over the bins that are not full.  It moves pieces and
 exchanges one for one or two for one whenever that raises the sum of squared fills, which
 drains the emptiest bins into the fuller ones until they are gone.  The underfull bins of
-many chunks meet in further, smaller rounds.
+all chunks meet in further rounds of chunks of the same size.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import math
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, measure
 
 
 def load_ranks(spark, path: str) -> dict[bytes, int]:
@@ -106,65 +106,162 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 8) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, sweeps: int = 16) -> list[list[int]]:
     """Raise the sum of squared fills by moves and exchanges between underfull bins.
 
-    A step takes pieces from the emptier bin and gives it shorter ones back, so that the
-    fuller bin's room shrinks: one piece for none, one for one, or two for one.  ``rounds``
-    bounds the sweeps; each sweep is linear in the underfull bins times the kinds of length.
+    A step takes one or two pieces from a bin (the giver) and gives it shorter ones back, so
+    that the room of another (the taker) shrinks: one piece for none, one for one, or two for
+    one either way.  Steps that fill the taker come first, then those that gain most, with a
+    taker that is no emptier.  Every underfull bin gives, the emptiest first, in at most
+    ``sweeps`` sweeps, fewer if one finds no step.
     """
-    full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
-    open_ = [list(b) for b in bins if b and sum(lengths[i] for i in b) < capacity]
-    fill = [sum(lengths[i] for i in b) for b in open_]
-    for _ in range(rounds):
-        order = sorted((k for k in range(len(open_)) if fill[k]), key=lambda k: fill[k])
-        changed = False
-        givers = [k for k in order[: max(1, math.isqrt(len(order)) * 4)]]
-        for giver in givers:
-            for taker in reversed(order):
-                if not fill[giver]:
-                    break
-                if taker == giver or fill[taker] < fill[giver] or fill[taker] == capacity or not fill[taker]:
-                    continue
-                step = _step(open_[giver], open_[taker], lengths, capacity - fill[taker])
-                if step:
-                    give, back = step
-                    moved = sum(lengths[i] for i in give) - sum(lengths[i] for i in back)
-                    open_[giver] = [i for i in open_[giver] if i not in give] + back
-                    open_[taker] = [i for i in open_[taker] if i not in back] + give
-                    fill[giver] -= moved
-                    fill[taker] += moved
-                    changed = True
-        if not changed:
+    search = _Search(capacity, lengths)
+    full = []
+    for b in bins:
+        if b and sum(lengths[i] for i in b) == capacity:
+            full.append(b)
+        elif b:
+            search.add(list(b))
+    for _ in range(sweeps):
+        if not search.sweep():
             break
-    return full + [b for b in open_ if b]
-
-
-def _step(giver: list[int], taker: list[int], lengths: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that fills the taker most; it always gains, as the taker is the fuller."""
-    best, found = 0, None
-    for i in giver:
-        n = lengths[i]
-        if best < n <= room:
-            best, found = n, ([i], [])
-        for j in taker:
-            gain = n - lengths[j]
-            if best < gain <= room:
-                best, found = gain, ([i], [j])
-    for x, i in enumerate(giver):
-        for h in giver[x + 1 :]:
-            both = lengths[i] + lengths[h]
-            for j in taker:
-                gain = both - lengths[j]
-                if best < gain <= room:
-                    best, found = gain, ([i, h], [j])
-    for i in giver:
-        for y, j in enumerate(taker):
-            for h in taker[y + 1 :]:
-                gain = lengths[i] - lengths[j] - lengths[h]
-                if best < gain <= room:
-                    best, found = gain, ([i], [j, h])
-    return found
+    return full + [b for b in search.bins if b]
+
+
+class _Offers:
+    """What bins would give back: which have it, by its sum and their room."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.some = np.zeros((capacity, capacity), bool)
+        self.bins: dict[int, dict[int, None]] = {}
+
+    def put(self, sums: Iterable[int], room: int, b: int) -> None:
+        for m in sums:
+            self.bins.setdefault(m * self.capacity + room, {})[b] = None
+            self.some[m, room] = True
+
+    def take(self, sums: Iterable[int], room: int, b: int) -> None:
+        for m in sums:
+            own = self.bins[m * self.capacity + room]
+            del own[b]
+            if not own:
+                del self.bins[m * self.capacity + room]
+                self.some[m, room] = False
+
+    def first(self, m: int, room: int) -> int:
+        return next(iter(self.bins[m * self.capacity + room]))
+
+
+class _Waiting(_Offers):
+    """Those of bins that have yet to give in this sweep, with the largest room for each sum."""
+
+    def __init__(self, capacity: int):
+        super().__init__(capacity)
+        self.top = np.full(capacity, -1)
+
+    def put(self, sums: Iterable[int], room: int, b: int) -> None:
+        super().put(sums, room, b)
+        for m in sums:
+            self.top[m] = max(self.top[m], room)
+
+    def take(self, sums: Iterable[int], room: int, b: int) -> None:
+        super().take(sums, room, b)
+        for m in sums:
+            if self.top[m] == room and not self.some[m, room]:
+                rooms = np.flatnonzero(self.some[m, :room])
+                self.top[m] = rooms[-1] if len(rooms) else -1
+
+
+class _Search:
+    """Underfull bins, with tables of their single pieces (or none: 0) and of their pairs."""
+
+    def __init__(self, capacity: int, lengths: list[int]):
+        self.capacity, self.lengths = capacity, lengths
+        self.bins: list[list[int]] = []
+        self.room: list[int] = []
+        self.sums: list[tuple[dict[int, list[int]], dict[int, list[int]]]] = []
+        self.all = (_Offers(capacity), _Offers(capacity))
+        self.waiting = (_Waiting(capacity), _Waiting(capacity))
+        self.waits: list[bool] = []
+
+    def _sums(self, b: int) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+        """The sums of single pieces (and of none) and of pairs, each with pieces that have it."""
+        one: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            one.setdefault(self.lengths[i], []).append(i)
+        two: dict[int, list[int]] = {}
+        kinds = sorted(one)
+        for x, m in enumerate(kinds):
+            for n in kinds[x:]:
+                if m != n or len(one[m]) > 1:
+                    two.setdefault(m + n, [one[m][0], one[n][-1]])
+        return {0: []} | {m: own[:1] for m, own in one.items()}, two
+
+    def add(self, members: list[int]) -> None:
+        self.bins.append(members)
+        self.room.append(self.capacity - sum(self.lengths[i] for i in members))
+        self.sums.append(({}, {}))
+        self.waits.append(False)
+        self._enter(len(self.bins) - 1, False)
+
+    def _enter(self, b: int, waits: bool) -> None:
+        self.sums[b], self.waits[b] = self._sums(b), waits
+        for k in (0, 1):
+            self.all[k].put(self.sums[b][k], self.room[b], b)
+            if waits:
+                self.waiting[k].put(self.sums[b][k], self.room[b], b)
+
+    def _leave(self, b: int) -> None:
+        for k in (0, 1):
+            self.all[k].take(self.sums[b][k], self.room[b], b)
+            if self.waits[b]:
+                self.waiting[k].take(self.sums[b][k], self.room[b], b)
+
+    def sweep(self) -> bool:
+        changed = False
+        order = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.room[b]), key=lambda b: -self.room[b])
+        for b in order:
+            self._leave(b)
+            self._enter(b, True)
+        for giver in order:
+            if not self.room[giver]:
+                continue  # it has been filled
+            self._leave(giver)
+            while self.bins[giver] and (step := self._step(giver)):
+                taker, give, back = step
+                self._leave(taker)
+                gain = sum(self.lengths[i] for i in give) - sum(self.lengths[i] for i in back)
+                self.bins[giver] = [i for i in self.bins[giver] if i not in give] + back
+                self.bins[taker] = [i for i in self.bins[taker] if i not in back] + give
+                self.room[giver] += gain
+                self.room[taker] -= gain
+                if self.room[taker]:
+                    self._enter(taker, self.waits[taker])
+                changed = True
+            if self.bins[giver]:
+                self._enter(giver, False)
+        return changed
+
+    def _step(self, giver: int) -> tuple[int, list[int], list[int]] | None:
+        """(taker, pieces to give, pieces to get back): a step that fills a taker, else the one that gains most."""
+        one, two = self._sums(giver)
+        offers = [(x, give, k) for own, k in ((one, 0), (two, 0), (one, 1)) for x, give in own.items() if x]
+        offers.sort(key=lambda o: -o[0])
+        best, found = 0, None
+        for x, give, k in offers:
+            back = np.arange(max(0, x - self.capacity + 1), min(x, self.capacity))
+            gain = x - back
+            if (filled := self.all[k].some[back, gain]).any():
+                at = int(filled.argmax())
+                return self._with(int(back[at]), int(gain[at]), give, k, self.all)
+            if x > best and (able := self.waiting[k].top[back] >= gain).any() and gain[at := int(able.argmax())] > best:
+                best, found = int(gain[at]), (int(back[at]), int(self.waiting[k].top[back[at]]), give, k, self.waiting)
+        return self._with(*found) if found else None
+
+    def _with(self, back: int, room: int, give: list[int], k: int, table: tuple[_Offers, _Offers]) -> tuple[int, list[int], list[int]]:
+        taker = table[k].first(back, room)
+        return taker, give, self.sums[taker][k][back]
 
 
 def _pack(part: pd.DataFrame, capacity: int, chunk: int) -> pd.DataFrame:
@@ -190,15 +287,14 @@ def pack(piece_rows: DataFrame, capacity: int = 1024, chunk_rows: int = 40_000)
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces.
 
     Pieces as long as the capacity have a sequence of their own.  The others are dealt at
-    random into chunks of about ``chunk_rows``; bins that stay underfull go on to the next
-    round, with a sixteenth of the chunks, until one chunk is left.  So at most one badly
-    filled bin remains for every few hundred thousand pieces, and no task holds more than a
-    bounded number of rows.  An empty table gives no rows.
+    random into chunks of about ``chunk_rows``; the pieces of bins that stay underfull are
+    dealt into chunks of that size again, as long as their number falls by an eighth.  So no
+    task holds more than about ``chunk_rows`` rows, whatever the lengths are, and only
+    the last round's chunks keep underfull bins.  An empty table gives no rows.
     """
-    rows = materialise(piece_rows, "pieces")
-    n = rows.where(F.col("length") < capacity).count()
-    chunks = max(1, math.ceil(n / chunk_rows))
-    dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks))
+    rows = materialise(piece_rows, "pieces", loose=F.sum((F.col("length") < capacity).cast("long")))
+    chunks = max(1, math.ceil(measure(rows, "loose") / chunk_rows))
+    dealt = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(chunks))
     loose = rows.where(F.col("length") < capacity).withColumn("chunk", dealt)
     whole = rows.where(F.col("length") >= capacity).withColumn("chunk", F.lit(-1).cast("long"))
     name = lambda level: F.lit(level << 58) + F.shiftleft(F.col("chunk"), 32) + F.col("bin")
@@ -209,13 +305,16 @@ def pack(piece_rows: DataFrame, capacity: int = 1024, chunk_rows: int = 40_000)
 
     level = 0
     while True:
-        packed = materialise(loose.groupBy("chunk").applyInPandas(run, _PACKED), "packed")
-        final = packed if chunks == 1 else packed.where(F.col("fill") == capacity)
+        packed = materialise(loose.groupBy("chunk").applyInPandas(run, _PACKED), "packed", open=F.sum((F.col("fill") < capacity).cast("long")))
+        more = max(1, math.ceil(measure(packed, "open") / chunk_rows))
+        last = chunks == 1 or 8 * more > 7 * chunks
+        final = packed if last else packed.where(F.col("fill") == capacity)
         done.append(final.select("doc_id", "piece", "start", "length", "ids_crc32", name(level).alias("sequence_id"), "offset"))
-        if chunks == 1:
+        if last:
             break
-        chunks = max(1, chunks // 16)
-        loose = packed.where(F.col("fill") < capacity).select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(name(level)), F.lit(chunks)).alias("chunk"))
+        chunks, before = more, level
+        again = F.pmod(F.xxhash64(name(before)), F.lit(chunks)).alias("chunk")
+        loose = packed.where(F.col("fill") < capacity).select("doc_id", "piece", "start", "length", "ids_crc32", again)
         level += 1
     out = done[0]
     for more in done[1:]:
