@@ -14,7 +14,7 @@ made for one step.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,32 +238,30 @@ class StreamDecoder:
         return rest.decode("utf-8", "replace")
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row: ids as binary, little-endian unsigned 32-bit integers.
+_Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    A null text is empty and has no ids; null ids stay null; repeated rows are encoded each
-    time; other columns are ignored; an empty table gives no rows.
-    """
+
+def _encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> _Step:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    key = vocabulary_key(ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, pattern)
+        encoder = _encoder(key, lambda: shared.value, pattern)
         for batch in batches:
             found = [encoder.encode_bytes(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return run
 
 
-def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], chunk: int = 4096, keep_text: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars[, text]) from (doc_id, ids).
+_DECODED = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars", "text"]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long"
 
-    The ids are decoded ``chunk`` at a time, so a long document needs no second copy of its
-    bytes; the digest is of the decoded bytes, the text of their characters.
-    """
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars", "text"][: 5 + keep_text]
+
+def _decode(docs: DataFrame, ranks: dict[bytes, int], chunk: int, keep_text: bool) -> _Step:
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    names = _DECODED[: 5 + keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = [b""] * (max(shared.value.values()) + 1)
@@ -287,20 +285,50 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], chunk: int = 4
                 chars += len(part)
                 for column, value in zip(out, (doc_id, len(ids), hashlib.sha256(raw).hexdigest(), digest.hexdigest(), chars, "".join([*text, part])), strict=False):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=False)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _KINDS, strict=False)], names=names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long" + ", text string" * keep_text
-    return encoded.mapInArrow(run, schema)
+    return run
+
+
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) of every row: ids as binary, little-endian unsigned 32-bit integers.
+
+    A null text is empty and has no ids; null ids stay null; repeated rows are encoded each
+    time; other columns are ignored; an empty table gives no rows.
+    """
+    return _rows(docs, id_col, text_col).mapInArrow(_encode(docs, ranks, pattern), "doc_id long, ids binary")
+
+
+def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], chunk: int = 4096, keep_text: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars[, text]) from (doc_id, ids).
+
+    The ids are decoded ``chunk`` at a time, so a long document needs no second copy of its
+    bytes; the digest is of the decoded bytes, the text of their characters.
+    """
+    return encoded.mapInArrow(_decode(encoded, ranks, chunk, keep_text), _SCHEMA + ", text string" * keep_text)
+
+
+def roundtrip_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode_documents`` of ``encode_documents`` without the texts, by one worker process a task."""
+    encode, decode = _encode(docs, ranks, pattern), _decode(docs, ranks, chunk, False)
+    return _rows(docs, id_col, text_col).mapInArrow(lambda batches: decode(encode(batches)), _SCHEMA)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 _own: dict[str, Encoder] = {}
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+def vocabulary_key(ranks: dict[bytes, int], pattern: str) -> str:
+    """A digest of every token, every rank and the pattern."""
+    return hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+
+
+def _encoder(key: str, ranks: Callable[[], dict[bytes, int]], pattern: str) -> Encoder:
     """One encoder a worker process and vocabulary, so that its states serve all its tasks."""
-    key = hashlib.sha256(repr((pattern, len(ranks), sorted(ranks.items())[:: max(1, len(ranks) // 997)])).encode()).hexdigest()
     if key not in _own:
         _own.clear()
-        _own[key] = Encoder(ranks, pattern)
+        _own[key] = Encoder(ranks(), pattern)
     return _own[key]

@@ -13,7 +13,7 @@ from .common import held_out, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.compare_with_next(table(spark, sf_dir, "documents"))
+    return simhash.compare_and_search(table(spark, sf_dir, "documents"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = packing.load_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.decode_documents(encoded, ranks, keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    rows = byte_bpe.roundtrip_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_CLASS, bucket_of, longs, parts
+from .common import WHITE_CLASS, bucket_of, join_hot, longs, materialise, parts
 
 BITS = 64
 
@@ -62,12 +62,44 @@ def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``compare_and_search``, without the search."""
+    return _shown(_compared(docs, id_col, text_col))
+
+
+def compare_and_search(docs: DataFrame, every: int = 100, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``compare_with_next``, and n_near: of rows whose id ``every`` divides, how many other rows have a
+    fingerprint at most ``radius`` bits away, found by the permuted block tables; null for all other rows."""
+    rows = materialise(_compared(docs, id_col, text_col), "fingerprints")
+    asked = F.when(F.col("doc_id") % every == 0, F.col("fp"))
+    prints = rows.groupBy("fp").agg(F.count("*").alias("k"))
+    queries = materialise(rows.select(asked.alias("q")).where("q is not null").groupBy("q").agg(F.count("*").alias("n")), "queries")
+    pairs = within_radius(queries.select(F.col("q").alias("fp")), prints, radius)
+    near = pairs.join(prints.withColumnRenamed("fp", "p"), F.col("fp") == F.col("p")).groupBy("query_fp").agg((F.sum("k") - 1).alias("n_near"))
+    found = queries.join(near, F.col("q") == F.col("query_fp")).select("q", "n", "n_near")
+    joined = join_hot(rows.withColumn("q", asked), materialise(found, "near"), ["q"], ["doc_id"], "left")
+    return _shown(joined, "n_near")
+
+
+def _shown(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_hex(F.col("fp")).alias("fingerprint"),
+        as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        *more,
+    )
+
+
+def _compared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how alike they are.
 
     Rows are in the order of falling id; the next document of the last is the first.  The
     edited text has the last floor(n/2) code points replaced by the first as many (or all)
     of the next document's.  Columns: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint (16 hex digits each), near_edited, near_next (share of equal bits).
+    edited_fingerprint (shown as 16 hex digits), near_edited, near_next (share of equal bits).
 
     A null text is empty.  Null ids come last, and equal ids are ordered by text.  A table of
     one row has that row as its next.  Other columns are ignored; an empty table gives no rows.
@@ -106,15 +138,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pick = lambda form, c: F.max(F.when(F.col("form") == form, F.col(c)))
     paired = prints.groupBy("r", "k", "guest", "doc_id", "n_chars").agg(pick(0, "fp").alias("fp"), pick(1, "fp").alias("edited_fp"), pick(1, "sha").alias("edited_sha256"))
     followed = paired.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("r").orderBy("k")))
-    return followed.where("not guest").select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        as_hex(F.col("fp")).alias("fingerprint"),
-        as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-    )
+    return followed.where("not guest").select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
