@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialise, parts
+from .common import bucket_of, join_hot, materialise, measure, parts, smallest_hashes
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -38,12 +38,14 @@ def _key(labels: Column, path: Column) -> Column:
     return F.concat(F.array_join(labels, "."), F.lit("/"), path)
 
 
-def _bounds(keys: DataFrame, n: int) -> list[bytes]:
-    """n - 1 keys that cut the sorted keys into similar ranges, from a sample of 64 n keys.
+def _bounds(keys: DataFrame, n: int, total: int) -> list[bytes]:
+    """n - 1 places that cut the sorted keys into similar ranges, from a sample of at most 64 n of ``total``.
 
-    The sample only places the cuts; every key is swept.
+    The sample only places the cuts; every key is swept.  Of a sampled key the first 64
+    bytes come to the driver.
     """
-    sample = sorted(r.key.encode() for r in keys.orderBy(F.xxhash64("key"), "key").limit(64 * n).collect())
+    starts = keys.select(F.substring(F.encode("key", "UTF-8"), 1, 64).alias("start"))
+    sample = sorted(bytes(r.start) for r in smallest_hashes(starts, F.xxhash64("start"), 64 * n, total))
     return sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
 
 
@@ -92,14 +94,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     keyed = clean.withColumn("key", _key(_labels(F.col("rule_host")), F.col("rule_path")))
 
     # equal places are judged once; domains with more labels than any rule's have no rules
-    places = rows.select("host", "path").distinct()
+    places = materialise(rows.groupBy("host", "path").agg(F.count("*").alias("n")), "places")
     domain = F.explode(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(most)))).alias("k")
     points = places.withColumn("labels", _labels(F.col("host"))).select("host", "path", "labels", domain).select("host", "path", _key(F.slice("labels", F.lit(1), F.col("k")), F.col("path")).alias("key"))
+    # and each key is swept once, however many places have it
+    keys = materialise(points.groupBy("key").agg(F.count("*").alias("n")), "keys")
 
-    bounds = _bounds(keyed.select("key").union(points.select("key")), n)
+    bounds = _bounds(keyed.select("key").union(keys.select("key")), n, measure(keys))
     range_of = bucket_of(F.encode("key", "UTF-8"), bounds)
-    leveled = materialise(_with_depth(keyed.withColumn("range", range_of), bounds).withColumn("rule", F.concat("rule_host", "rule_path")), "rules")
-    depth = leveled.agg(F.max("depth")).first()[0]
+    leveled = materialise(_with_depth(keyed.withColumn("range", range_of), bounds).withColumn("rule", F.concat("rule_host", "rule_path")), "rules", depth=F.max("depth"))
+    depth = measure(leveled, "depth")
 
     # the stack at the start of each range: at each level the last rule that began before
     opened = F.struct(F.col("key").alias("k"), F.col("rule"), F.col("rule_verdict").alias("verdict"), F.length("rule_host").alias("host_length"))
@@ -113,15 +117,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     starts = leveled.select("range", "key", F.lit(1).alias("kind"), "depth", opened.alias("open"))
     events = (
         starts.unionByName(carried.select("range", F.lit("").alias("key"), F.lit(0).alias("kind"), "depth", "open"))
-        .select("*", nothing("string").alias("host"), nothing("string").alias("path"))
-        .unionByName(points.select(range_of.alias("range"), "key", F.lit(2).alias("kind"), nothing("int").alias("depth"), nothing(leveled.select(opened.alias("o")).schema["o"].dataType).alias("open"), "host", "path"))
+        .withColumn("n", nothing("long"))
+        .unionByName(keys.select(range_of.alias("range"), "key", F.lit(2).alias("kind"), nothing("int").alias("depth"), nothing(leveled.select(opened.alias("o")).schema["o"].dataType).alias("open"), "n"))
     )
     sweep = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     stack = [F.last(F.when(F.col("depth") == d, F.col("open")), ignorenulls=True).over(sweep).alias(f"s{d}") for d in range(1, depth + 1)]
-    swept = events.select("host", "path", "key", "kind", *stack).where("kind = 2")
+    swept = events.select("key", "kind", "n", *stack).where("kind = 2")
     inner = F.coalesce(*[F.when(F.startswith("key", F.col(f"s{d}.k")), F.col(f"s{d}")) for d in range(depth, 0, -1)])
-    fits = swept.select("host", "path", inner.alias("fit")).where("fit is not null")
-    best = fits.groupBy("host", "path").agg(F.max_by("fit", F.struct(F.length("fit.rule"), F.col("fit.host_length"))).alias("fit"))
-    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "fit.rule", F.col("fit.verdict").alias("v"))
-    joined = rows.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    fits = materialise(swept.select("key", "n", inner.alias("fit")).where("fit is not null"), "fits")
+    met = join_hot(points, fits, ["key"], ["host", "path"]).drop("n")
+    best = met.groupBy("host", "path").agg(F.max_by("fit", F.struct(F.length("fit.rule"), F.col("fit.host_length"))).alias("fit"))
+    best = best.join(places.withColumnsRenamed({"host": "h", "path": "p"}), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
+    best = materialise(best.select("host", "path", "fit.rule", F.col("fit.verdict").alias("v"), "n"), "best")
+    joined = join_hot(rows, best, ["host", "path"], ["page_id"], "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))
