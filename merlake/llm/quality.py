@@ -4,8 +4,9 @@ Two zstandard dictionaries hold good and bad labelled texts.  A text is compress
 each; the difference of the two sizes, divided by their mean, says which kind of text it
 resembles.  A logistic curve, fitted on labelled texts that the dictionaries have not seen,
 calibrates the difference to a score.  How far a difference can be trusted depends on how
-long the text is and on how well it compresses at all, so the curve takes the logarithms of
-the mean size and of the compression ratio beside it.
+long the text is and on how well it compresses at all, so the curve's slope is linear in the
+logarithms of the mean size and of the compression ratio.  Neither counts by itself: texts
+without a difference all have the same score.
 """
 
 from __future__ import annotations
@@ -50,11 +51,12 @@ class Scorer:
         self.tools = [zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in given]
 
     def features(self, text: str) -> tuple[float, float, float, float]:
-        """The difference (positive where the good dictionary saves more), log size, log ratio, 1."""
+        """The difference (positive where the good dictionary saves more), by itself and times log size and log ratio, and 1."""
         data = text.encode()
         good, bad = (len(t.compress(data)) for t in self.tools)
         mean = (good + bad) / 2
-        return (bad - good) / mean, math.log(mean), math.log(mean / len(data)), 1.0
+        difference = (bad - good) / mean
+        return difference, difference * math.log(mean), difference * math.log(mean / len(data)), 1.0
 
     def score(self, text: str | None) -> float:
         if not text or not any(self.model.weights):
@@ -104,11 +106,13 @@ def train(rows: list[tuple[str, int]], dict_bytes: int = 1 << 20, level: int = 3
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
-    """Dictionary content: equal shares of the given texts, so that no long one fills it."""
-    if not texts:
-        return b""
-    share = max(64, size // len(texts))
-    return b"".join(t.encode()[:share] for t in texts)[-size:]
+    """Dictionary content: whole texts in the order given until ``size`` bytes are full; only the last is cut."""
+    out = bytearray()
+    for text in texts:
+        if len(out) >= size:
+            break
+        out += text.encode()[: size - len(out)]
+    return bytes(out)
 
 
 def fit(
@@ -126,8 +130,11 @@ def fit(
 
     The sample is the ``per_class`` rows of each class with the smallest hash of their id,
     so it is the same in every run; texts of more than ``max_chars`` code points are not
-    sampled.  These bounds limit what the driver holds.  Rows with a null id, text or label
-    teach nothing.  The share of good rows is counted over all labelled rows given.
+    sampled.  These bounds limit what the driver holds.  Every second of these texts goes
+    into its class's dictionary, whole and in the order of their hash, until it has
+    ``dict_bytes``; the others fit the curve.  Rows with a null id, text or label teach
+    nothing, and ids that are labelled both ways teach both.  The share of good rows is
+    counted over all labelled rows given.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("__i"), F.col(label_col).cast("int").alias("__y")).distinct()
     counts = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
@@ -140,7 +147,7 @@ def fit(
         return train([], dict_bytes, level)
     wanted = docs.sparkSession.createDataFrame(chosen, "__i long, __y int")  # at most 2 * per_class rows
     rows = texts.join(F.broadcast(wanted), "__i").select("__i", "__t", "__y").collect()
-    rows.sort(key=lambda r: (r["__y"], hash(r["__i"]) * 2654435761 % 2**32, r["__t"]))
+    rows.sort(key=lambda r: (r["__y"], r["__i"] * 2654435761 % 2**32, r["__t"]))
     return train([(r["__t"], r["__y"]) for r in rows], dict_bytes, level, (counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
 
 
@@ -163,7 +170,12 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns.
+
+    Null and empty texts have the score of texts without evidence, the share of good rows
+    among the labelled, and stay or go by it.  Rows are judged one by one, so repeated ones
+    share their fate; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
