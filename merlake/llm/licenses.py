@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -210,6 +211,17 @@ def scan_paragraphs(docs: DataFrame, model: LicenseModel, threshold: float = 0.5
     return found.join(parts, same, "left_anti").unionByName(joined.select("doc_id", "text_hash", "paragraph", "family", "probability"))
 
 
+def _least_words(pairs: list[str], need: int) -> int:
+    """How many distinct words ``need`` of the pairs have at least: each pair takes two of the words' places."""
+    places = Counter(w for p in pairs for w in p.split())
+    left, words = 2 * need, 0
+    for _, n in places.most_common():
+        if left <= 0:
+            break
+        left, words = left - n, words + 1
+    return words
+
+
 def _windows(docs: DataFrame, model: LicenseModel, contained: float, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, block, at, n, words) of runs of ``n`` neighbouring lines of the blocks.
 
@@ -222,6 +234,11 @@ def _windows(docs: DataFrame, model: LicenseModel, contained: float, id_col: str
     need = [math.ceil(contained * len(own)) for own in pairs]
     numbered = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("i"), words(x).alias("w")))
     worded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.explode_outer(F.array(numbered)).alias("all"))
+    # a text that lacks the words of so many pairs of any template has no such block
+    vocabulary = F.split(F.lit(" ".join(sorted({w for own in pairs for p in own for w in p.split()}))), " ")
+    own_words = F.array_intersect(F.flatten(F.transform("all", lambda x: x.w)), vocabulary)
+    least = F.array(*[F.struct(F.split(F.lit(" ".join(sorted({w for p in own for w in p.split()}))), " ").alias("w"), F.lit(_least_words(own, n)).alias("n")) for own, n in zip(pairs, need, strict=True)])
+    worded = worded.select("*", own_words.alias("own")).where(F.exists(least, lambda t: F.size(F.array_intersect(F.col("own"), t.w)) >= t.n)).drop("own")
     empty = lambda i: F.size(F.get("all", i)["w"]) == 0
     firsts = F.filter("all", lambda x: (F.size(x.w) > 0) & F.when(x.i == 0, True).otherwise(empty(x.i - 1)))
     lasts = F.filter("all", lambda x: (F.size(x.w) > 0) & F.when(x.i == F.size("all") - 1, True).otherwise(empty(x.i + 1)))
