@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from merlake.llm import byte_bpe, components, exact_dedup, near_dedup, packing, quality, simhash
+from merlake.llm import byte_bpe, common, components, exact_dedup, near_dedup, packing, quality, simhash
 from merlake.llm.common import WHITE, bucket_of
 from merlake.llm.queries import op10_packing
 
@@ -49,23 +49,40 @@ def test_exact_groups(spark):
 def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**64, 3000, dtype=np.uint64)
-    values = np.concatenate([values, values[:500], values[:40], np.array([0, 2**64 - 1, 2**64 - 1], np.uint64)])
-    whole, parts = exact_dedup.CountingQuotientFilter(10), exact_dedup.CountingQuotientFilter(10)
-    whole.insert_all(values)
+    crowd = np.uint64(7 << 50) + np.arange(300, dtype=np.uint64)  # one long run that shifts those after it
+    values = np.concatenate([values, crowd, values[:500], values[:40], np.repeat(values[7], 700), np.array([0, 2**64 - 1, 2**64 - 1], np.uint64)])
+    found, counts = np.unique(values, return_counts=True)
+    whole = exact_dedup.FilterBuilder()
+    for chunk in np.array_split(rng.permutation(values), 9):
+        whole.insert_all(chunk)
+        whole._merge()
+    parts = []
     for chunk in np.array_split(rng.permutation(values), 7):
-        one = exact_dedup.CountingQuotientFilter(10)
+        one = exact_dedup.FilterBuilder()
         one.insert_all(chunk)
-        parts.merge(one)
-    found, counts = np.unique(values, return_counts=True)
-    for f in (whole, parts):
-        assert (f.fingerprints() == found).all() and (f.counts == counts).all()
-    assert all(whole.count(int(x)) == n for x, n in zip(found[:200], counts[:200], strict=True)) and whole.count(12345) == 0
-    again = exact_dedup.CountingQuotientFilter(10)
-    for _, fps, ns in whole.blocks(5):
-        again.merge(exact_dedup.CountingQuotientFilter.of_block(10, fps, ns))
-    assert (again.fingerprints() == found).all()
+        parts.append(exact_dedup.CountingQuotientFilter.from_bytes(one.finish().to_bytes()))
+    for f in (whole.finish(), exact_dedup.CountingQuotientFilter.merged(parts), exact_dedup.CountingQuotientFilter.of(found, counts)):
+        prints, ns = f.entries()
+        assert (prints == found).all() and (ns == counts).all() and len(f.to_bytes()) < 14 * len(found)
+        assert all(f.count(int(x)) == n for x, n in zip(found[::5], counts[::5], strict=True)) and f.count(12345) == 0 == f.count((7 << 50) + 300)
+    blocks = defaultdict(list)
+    for f in parts:
+        for k, part in f.blocks(5):
+            blocks[k].append(part)
+    again = [(k << 59 | int(x), int(n)) for k in sorted(blocks) for x, n in zip(*exact_dedup.CountingQuotientFilter.merged(blocks[k]).entries(), strict=True)]
+    assert again == list(zip(found.tolist(), counts.tolist(), strict=True))
     with pytest.raises(ValueError):
-        whole.merge(exact_dedup.CountingQuotientFilter(11))
+        exact_dedup.CountingQuotientFilter.merged([exact_dedup.CountingQuotientFilter(3), exact_dedup.CountingQuotientFilter(3, 60)])
+    assert not list(exact_dedup.FilterBuilder().finish().blocks(4))
+
+
+def test_exact_groups_without_a_bitmap_and_of_hot_texts(spark, monkeypatch):
+    """The join that replaces the bitmap, and keys that are split, give the same rows."""
+    docs = edge_docs(spark).unionByName(spark.range(100, 400).select(F.col("id").alias("doc_id"), F.lit("a copy").alias("text"), *[F.lit("c").alias(c) for c in edge_docs(spark).columns[2:]]))
+    want = sorted(map(str, exact_dedup.exact_groups(docs).collect())), sorted(map(str, exact_dedup.drop_exact(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "ROUTE_BITS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert (sorted(map(str, exact_dedup.exact_groups(docs).collect())), sorted(map(str, exact_dedup.drop_exact(docs).collect()))) == want
 
 
 # ---------------------------------------------------------------- near dedup
@@ -109,6 +126,7 @@ def test_near_groups_of_edges(spark, words, share):
 def test_near_groups_of_chains_and_blocks(spark, monkeypatch):
     """Chains of small edits, a family of copies that share a passage, and clusters of several blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(common, "HOT_ROWS", 9)
     rng = random.Random(8)
     texts = []
     for _ in range(4):
@@ -129,6 +147,32 @@ def test_near_groups_of_chains_and_blocks(spark, monkeypatch):
     assert 4 <= len(set(roots)) < len(texts)
 
 
+def test_rows_that_near_dedup_drops(spark, monkeypatch):
+    """Rows that share an id but no link stay; of rows that repeat both id and text, one."""
+    rng = random.Random(31)
+    text, other, third = (prose(rng, 80) for _ in range(3))
+    near = text + " more"
+    rows = [(5, text, {"k": 1}), (17, near, None), (17, other, None), (18, third, None), (18, third, None), (18, third + " x", None), (19, third, None), (20, "", None), (20, "", None), (None, text, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n map<string,int>")
+    for hot in (256, 1):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        kept = near_dedup.drop_near(docs)
+        got = [(r.doc_id, r.text) for r in kept.collect()]
+        assert kept.columns == docs.columns and sorted(x for x in got if x[0] not in (18, 20, None)) == [(5, text), (17, other)]
+        assert len([x for x in got if x[0] == 18]) == 1 and got.count((20, "")) == 2 and got.count((None, text)) == 1 and len(got) == 6
+
+
+def test_join_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.when(F.col("id") < 600, 1).otherwise(F.col("id") % 50)).cast("long").alias("k"), "id")
+    keyed = common.materialise(rows.where("k is not null and k < 40").groupBy("k").agg(F.count("*").alias("n")), "keyed")
+    want = sorted((r.id, r.k, r.n) for r in rows.join(keyed, "k").collect())
+    assert sorted((r.id, r.k, r.n) for r in common.join_hot(rows, keyed, ["k"], ["id"]).collect()) == want
+    assert common.join_hot(rows, keyed, ["k"], ["id"], "left").count() == 1000
+    plan = common.join_hot(rows, keyed, ["k"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in plan and common.measure(keyed, "total") == sum(r[0] for r in keyed.select("n").collect())
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, 5), (7, 3), (3, 7), (900, 1), (901, 1), (-4, 900)] + [(rng.randint(2000, 2050), rng.randint(2000, 2050)) for _ in range(40)]
@@ -236,6 +280,11 @@ def test_quality_with_few_labels(rows):
     assert all(0 < model.scorer().score(t) < 1 for t in ("", None, "any text"))
 
 
+def test_quality_dictionaries_hold_whole_texts():
+    assert quality._dictionary(["ab", "c" * 5, "é"], 100) == "abcccccé".encode()
+    assert quality._dictionary(["ab", "c" * 5, "never"], 4) == b"abcc" and quality._dictionary([], 4) == b""
+
+
 # ---------------------------------------------------------------- tokens
 
 
@@ -282,6 +331,18 @@ def test_transducer_on_a_small_vocabulary():
             assert machine.encode(data) == [ranks[t] for t in own]
 
 
+def test_vocabularies_that_differ_in_two_ranks(spark, ranks):
+    """A worker that has encoded with one vocabulary encodes with the other one's merges."""
+    other = dict(ranks)
+    a, b = b" the", b" and"
+    other[a], other[b] = ranks[b], ranks[a]
+    docs = spark.createDataFrame([(0, "on the and")], "doc_id long, text string").coalesce(1)
+    for own in (ranks, other, ranks):
+        want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={}).encode_ordinary("on the and")
+        assert np.frombuffer(byte_bpe.encode_documents(docs, own, public_tokenizers.PATTERN).first().ids, "<u4").tolist() == want
+    assert byte_bpe.vocabulary_key(ranks, "x") != byte_bpe.vocabulary_key(other, "x")
+
+
 def test_stream_decoder():
     data = "a漢😀é".encode() + b"\xff\xf0\x9f" + "x".encode() + b"\xe6\xbc"
     for size in range(1, 6):
@@ -295,6 +356,10 @@ def test_documents_come_back(spark, ranks):
     got = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN), ranks, chunk=3).collect()
     assert sorted((str(r.doc_id), r.text, r.decoded_sha256) for r in got) == sorted((str(r.doc_id), r.text or "", hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
     assert byte_bpe.encode_documents(empty_docs(spark), ranks, public_tokenizers.PATTERN).count() == 0
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = [(str(r.doc_id), library.encode_ordinary(r.text or "")) for r in docs.collect()]
+    rows = byte_bpe.roundtrip_documents(docs, ranks, public_tokenizers.PATTERN, chunk=3).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in rows) == sorted((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in ids)
 
 
 # ---------------------------------------------------------------- packing
@@ -304,8 +369,7 @@ def test_packing(spark):
     docs = edge_docs(spark)
     ranks = packing.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = packing.pieces(docs, ranks, public_tokenizers.PATTERN, end_id=2, with_ids=True)
+    rows = packing.pieces(docs, ranks, public_tokenizers.PATTERN, end_id=2, with_ids=True, added=packing.load_added(public_tokenizers.path("byte_bpe_50k.json")))
     want = []
     for r in docs.collect():
         ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
@@ -365,6 +429,21 @@ def test_local_search_empties_bins():
     assert len(packing.local_search([[0, 1], [2, 3, 4], [5]], lengths, 10)) == 2
 
 
+def test_packing_where_no_bin_is_full(spark):
+    """Lengths of which no two fit together: no round brings them nearer to one task."""
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(600).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    packed = packing.pack(rows)
+    got = packed.agg(F.count("*"), F.countDistinct("sequence_id"), F.max("offset"), F.countDistinct("doc_id")).first()
+    assert tuple(got) == (200_000, 200_000, 0, 200_000)
+
+
+def test_exchanges_near_the_bound():
+    rng = random.Random(4)
+    lengths = [rng.randint(150, 450) for _ in range(3000)]
+    bound, before = -(-sum(lengths) // 1024), packing.best_fit(lengths, 1024)
+    assert bound <= len(packing.local_search(before, lengths, 1024)) < len(before) - (len(before) - bound) // 3
+
+
 def test_packing_of_many_chunks(spark):
     rng = random.Random(5)
     lengths = [rng.choice([rng.randint(1, 1023), rng.randint(1, 200), 1024]) for _ in range(3000)]
