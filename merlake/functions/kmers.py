@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .encode import is_dna, revcomp
+from .encode import LONG_K, is_dna, revcomp, with_code_revcomp
 
 _CHUNKS = (1 << 24, 1 << 15, 1 << 7)
 
@@ -60,6 +60,49 @@ def canonical_kmers(seqs: DataFrame, k: int, keep: list[str], seq_col: str = "se
     return out.where(F.col("__clean") | is_dna(ahead)).select(*keep, (F.col("__at") + F.col("__i")).alias("pos"), F.least(ahead, back).alias("kmer"))
 
 
+def canonical_codes(seqs: DataFrame, k: int, keep: list[str], seq_col: str = "seq") -> DataFrame:
+    """As ``canonical_kmers`` for k up to 31, with k-mers as longs of ordered codes.
+
+    A chunk's strands are each turned into longs of 31 letters once; a k-mer is cut out of
+    one or two of them by shifts, so no string is made for it.
+    """
+    if check_k(k) > LONG_K:
+        raise ValueError(f"codes hold up to {LONG_K} letters")
+    chunks = _chunks(seqs, k, keep, seq_col).select(*keep, "__at", "__s", is_dna(F.col("__s")).alias("__clean"))
+    n_longs = -(-(_CHUNKS[-1] + k - 1) // LONG_K) + 1
+    letters = F.when(F.col("__clean"), F.col("__s")).otherwise(F.regexp_replace("__s", "[^ACGT]", "A"))
+
+    def longs(strand: Column) -> Column:
+        digits = F.rpad(F.translate(strand, "ACGT", "0123"), n_longs * LONG_K, "0")
+        return F.array(*[F.conv(F.substr(digits, F.lit(LONG_K * j + 1), F.lit(LONG_K)), 4, 10).cast("long") for j in range(n_longs)])
+
+    coded = chunks.select(*keep, "__at", "__s", "__clean", letters.alias("__l"))
+    coded = coded.select(*keep, "__at", "__s", "__clean", longs(F.col("__l")).alias("__f"), longs(revcomp(F.col("__l"))).alias("__r"))
+    each = coded.select(*keep, "__at", "__s", "__clean", "__f", "__r", _each(k))
+    code = F.least(_cut("__f", F.col("__i"), k), _cut("__r", F.length("__s") - k - F.col("__i"), k))
+    return each.where(F.col("__clean") | is_dna(F.substr("__s", F.col("__i") + 1, F.lit(k)))).select(*keep, (F.col("__at") + F.col("__i")).alias("pos"), code.alias("kmer"))
+
+
+def _cut(longs: str, at: Column, k: int) -> Column:
+    """The code of the k letters from ``at`` of a strand in longs of 31 letters."""
+    shift = lambda how, x, n: F.call_function(how, x, n.cast("int"))
+    block, left = F.floor(at / LONG_K).cast("int"), LONG_K - at % LONG_K
+    high, low = F.get(longs, block), F.get(longs, block + 1)
+    own = high.bitwiseAND(shift("shiftleft", F.lit(1).cast("long"), 2 * left) - 1)
+    inside = shift("shiftrightunsigned", own, 2 * (left - k))
+    across = shift("shiftleft", own, 2 * (k - left)).bitwiseOR(shift("shiftrightunsigned", low, 2 * (LONG_K - k + left)))
+    return F.when(left >= k, inside).otherwise(across)
+
+
+def with_code_minimizer(rows: DataFrame, code: str, k: int, m: int, name: str) -> DataFrame:
+    """``rows`` with the ordered code of ``minimizer`` for k-mers given as longs."""
+    if not 1 <= m <= k:
+        raise ValueError("m must be between 1 and k")
+    both = with_code_revcomp(rows, code, k, "__other")
+    pieces = [F.shiftrightunsigned(x, 2 * j).bitwiseAND(F.lit((1 << 2 * m) - 1)) for x in (code, "__other") for j in range(k - m + 1)]
+    return both.withColumn(name, F.least(*pieces)).drop("__other")
+
+
 def minimizer(kmer: Column, k: int, m: int) -> Column:
     """The smallest canonical m-mer of a k-mer of length k."""
     if not 1 <= m <= k:

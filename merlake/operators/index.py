@@ -1,10 +1,10 @@
 """Building k-mer indexes.
 
 An index relates k-mers to samples: a row for each (k-mer, sample) that occurs, so absence
-costs nothing.  The exact form is keyed by the canonical k-mer; the Bloom form by a cell,
-the hash of the k-mer within the partition of its minimizer.  Stored indexes are Parquet,
-partitioned by ``part`` and sorted by key, so that a lookup prunes by partition and skips by
-the key's statistics.
+costs nothing.  The exact form is keyed by the canonical k-mer, a long up to 31 bases and a
+string beyond; the Bloom form by a cell, the hash of the k-mer within the partition of its
+minimizer.  Stored indexes are Parquet, partitioned by ``part`` and sorted by key, so that a
+lookup prunes by partition and skips by the key's statistics.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.encode import abundance_class
-from ..functions.hashing import cell, partition_of
-from ..functions.kmers import canonical_kmers, check_k, minimizer
+from ..functions.encode import LONG_K, abundance_class, word_of
+from ..functions.hashing import HASHES, cell, partition_of
+from ..functions.kmers import canonical_codes, canonical_kmers, check_k, minimizer, with_code_minimizer
 
-ENGINE_VERSION = "0.1.0"
+ENGINE_VERSION = "0.2.0"
+#: Rows of a stored index that one file should have, and of a partition's file at most a few times as many.
+FILE_ROWS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ class IndexParams:
         check_k(self.k)
         if not 1 <= self.m <= self.k:
             raise ValueError("m must be between 1 and k")
+        if self.hash not in HASHES:
+            raise ValueError(f"unknown hash {self.hash!r}; known: {', '.join(HASHES)}")
         if self.partitions < 1 or self.window < 0 or not 1 <= self.bits <= 8:
             raise ValueError("partitions must be positive, window at least 0, bits 1 to 8")
 
@@ -69,57 +73,82 @@ def bloom_window(bloom_size: int, partitions: int) -> int:
     return max(1, bloom_size // partitions)
 
 
-def count_kmers(seqs: DataFrame, k: int, hard_min: int = 1, only: DataFrame | None = None) -> DataFrame:
+def words(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """``keep``, pos and kmer of the canonical k-mers, as longs where they fit."""
+    return canonical_codes(seqs, k, keep) if k <= LONG_K else canonical_kmers(seqs, k, keep)
+
+
+def count_kmers(seqs: DataFrame, k: int, hard_min: int = 1) -> DataFrame:
     """(sample_idx, kmer, n): occurrences of canonical k-mers, those below ``hard_min`` left out.
 
-    With ``only``, a table with the column kmer, no others are counted.  An index that serves
-    one set of queries needs no more, and all else goes before the shuffle.
+    Counted before the one shuffle, whose key is the k-mer itself: a frequent one is a row a
+    task there, and no minimizer that many k-mers share gathers them in one task.
     """
-    own = canonical_kmers(seqs, k, ["sample_idx"])
-    if only is not None:
-        own = own.join(only.select("kmer").distinct(), "kmer", "left_semi")
-    counted = own.groupBy("sample_idx", "kmer").agg(F.count("*").alias("n"))
+    counted = words(seqs, k, ["sample_idx"]).groupBy("sample_idx", "kmer").agg(F.count("*").alias("n"))
     return counted.where(F.col("n") >= hard_min) if hard_min > 1 else counted
 
 
-def key_columns(params: IndexParams, kmer: Column) -> dict[str, Column]:
-    """The key columns that a k-mer has in an index.
+def with_key(rows: DataFrame, params: IndexParams) -> DataFrame:
+    """``rows`` with the key columns of their kmer, as ``words`` gives it, instead of kmer.
 
     They can't be null, which spares Spark a test of the hash on every k-mer before it joins.
     """
     sure = lambda c: F.coalesce(c, F.lit(0))
-    part = partition_of(minimizer(kmer, params.k, params.m), params.partitions, params.hash) if params.partitions > 1 else F.lit(0)
-    return {"part": sure(part), "kmer": kmer} if params.exact else {"part": sure(part), "cell": sure(cell(kmer, params.window, params.hash))}
-
-
-def build(seqs: DataFrame, samples: list[str], params: IndexParams, hard_min: int = 1, only: DataFrame | None = None) -> Index:
+    k, m, coded, kmer = params.k, params.m, params.k <= LONG_K, F.col("kmer")
+    rest = [c for c in rows.columns if c != "kmer"]
+    if params.partitions == 1:
+        out = rows.withColumn("part", F.lit(0))
+    else:
+        out = with_code_minimizer(rows, "kmer", k, m, "__least") if coded else rows.withColumn("__least", minimizer(kmer, k, m))
+        least = word_of(F.col("__least"), m) if coded and params.hash == "md5" else F.col("__least")
+        out = out.withColumn("part", sure(partition_of(least, params.partitions, params.hash)))
+    if params.exact:
+        return out.select("part", (sure(kmer) if coded else kmer).alias("kmer"), *rest)
+    whole = kmer if params.hash == "xxhash64" or not coded else word_of(kmer, k)
+    return out.select("part", sure(cell(whole, params.window, params.hash, k)).alias("cell"), *rest)
+
+
+def build(seqs: DataFrame, samples: list[str], params: IndexParams, hard_min: int = 1) -> Index:
     """Index the sequences (sample_idx, seq) of ``samples``.
 
     In the Bloom form, k-mers of a sample that meet in a cell leave it the highest class.
-    ``only`` restricts an exact index to some k-mers, see ``count_kmers``.
     """
-    if only is not None and not params.exact:
-        raise ValueError("a Bloom index can't be restricted to k-mers: others fill the same cells")
-    counted = count_kmers(seqs, params.k, hard_min, only)
-    keyed = counted.select("sample_idx", "n", *[c.alias(name) for name, c in key_columns(params, F.col("kmer")).items()])
+    keyed = with_key(count_kmers(seqs, params.k, hard_min), params)
     if not params.exact:
         keyed = keyed.groupBy(*params.key, "sample_idx").agg(F.max("n").alias("n"))
     cls = abundance_class(F.col("n"), params.bits).cast("byte")
     return Index(params, tuple(samples), keyed.select(*params.key, F.col("sample_idx").cast("int").alias("sample_idx"), cls.alias("cls")))
 
 
-def write(index: Index, path: str, files_per_partition: int = 1, codec: str = "snappy", level: int | None = None, block_mb: int = 128) -> None:
+def files_for(rows: int, partitions: int) -> int:
+    """Files a partition so that one has about ``FILE_ROWS`` rows."""
+    return max(1, -(-rows // (FILE_ROWS * partitions)))
+
+
+def write(index: Index, path: str, files_per_partition: int | None = None, codec: str = "snappy", level: int | None = None, block_mb: int = 128) -> None:
     """Store the rows by partition, sorted by key.
 
     Partitions are split over ``files_per_partition`` files by key, so one with many k-mers
-    is not one task's work.
+    is not one task's work.  Without that number there are as many as the rows need, which
+    are counted from a first, unsorted copy beside ``path``, and at least one for each core.
     """
     key = index.params.key[1]
+    spark = index.rows.sparkSession
+    first = None
+    if files_per_partition is None:
+        first = f"{path.rstrip('/')}-unsorted"
+        index.rows.write.mode("overwrite").parquet(first)
+        index = index.with_rows(spark.read.schema(index.rows.schema).parquet(first))
+        least = -(-spark.sparkContext.defaultParallelism // index.params.partitions)
+        files_per_partition = max(least, files_for(index.rows.count(), index.params.partitions))
     dealt = index.rows.repartition(index.params.partitions * files_per_partition, F.col("part"), F.pmod(F.xxhash64(key), F.lit(files_per_partition)))
     writer = dealt.sortWithinPartitions("part", key, "sample_idx").write.partitionBy("part").option("compression", codec).option("parquet.block.size", block_mb << 20)
     if level is not None:
         writer = writer.option("parquet.compression.codec.zstd.level", level)
     writer.mode("overwrite").parquet(path)
+    if first:
+        at = spark._jvm.org.apache.hadoop.fs.Path(first)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def to_masks(index: Index) -> DataFrame:

@@ -9,9 +9,10 @@ from .index import Index, write
 from .query import query
 
 
-def similar_order(index: Index, cells: int = 10_000) -> list[int]:
-    """Samples in a greedy order of likeness, by their presence in at most ``cells`` keys.
+def similar_order(index: Index, cells: int = 20_000, group: int = 0) -> list[int]:
+    """Samples in a greedy order of likeness, by their presence in at most ``cells`` sampled keys.
 
+    With ``group``, a multiple of 8, only samples within each run of so many are reordered.
     Each sample follows the one that it shares most of the sampled keys with; what reaches
     the driver is a table of samples by samples.
     """
@@ -22,12 +23,16 @@ def similar_order(index: Index, cells: int = 10_000) -> list[int]:
     shared = {(r.a, r.b): r["count"] for r in pairs.collect()}
     n = len(index.samples)
     size = [shared.get((k, k), 0) for k in range(n)]
-    left = set(range(1, n))
-    order = [0] if n else []
-    while left:
-        last = order[-1]
-        order.append(min(left, key=lambda k: (size[last] + size[k] - 2 * shared.get((last, k), 0), k)))
-        left.remove(order[-1])
+    if group < 0 or group % 8:
+        raise ValueError("the group must be a multiple of 8")
+    order: list[int] = []
+    for first in range(0, n, group or max(n, 1)):
+        left = set(range(first + 1, min(n, first + (group or n))))
+        order.append(first)
+        while left:
+            last = order[-1]
+            order.append(min(left, key=lambda k: (size[last] + size[k] - 2 * shared.get((last, k), 0), k)))
+            left.remove(order[-1])
     return order
 
 
@@ -35,12 +40,14 @@ def reorder(index: Index, order: list[int]) -> Index:
     """The index with its samples in another order."""
     if sorted(order) != list(range(len(index.samples))):
         raise ValueError("the order must have every sample once")
-    new = F.create_map(*[x for k, old in enumerate(order) for x in (F.lit(old), F.lit(k))])
-    rows = index.rows.withColumn("sample_idx", F.element_at(new, F.col("sample_idx")).cast("int"))
+    spark = index.rows.sparkSession
+    places = spark.createDataFrame([(old, k) for k, old in enumerate(order)], "old int, new int")  # a row a sample
+    joined = index.rows.join(places, F.col("sample_idx") == F.col("old"))
+    rows = joined.withColumn("sample_idx", F.col("new")).select(*index.rows.columns)
     return Index(index.params, tuple(index.samples[k] for k in order), rows)
 
 
-def rewrite(index: Index, path: str, level: int = 6, block_mb: int = 8, similar: bool = False, check: bool = False, files_per_partition: int = 1) -> Index:
+def rewrite(index: Index, path: str, level: int = 6, block_mb: int = 8, similar: bool = False, check: bool = False, files_per_partition: int | None = None, sampling: int = 20_000, group: int = 0) -> Index:
     """Store the index anew with zstandard at ``level``; returns the stored index.
 
     ``check`` compares a random query before and after and raises if any ratio differs.
@@ -48,7 +55,7 @@ def rewrite(index: Index, path: str, level: int = 6, block_mb: int = 8, similar:
     if not 1 <= level <= 22:
         raise ValueError("the level must be between 1 and 22")
     spark = index.rows.sparkSession
-    out = reorder(index, similar_order(index)) if similar else index
+    out = reorder(index, similar_order(index, sampling, group)) if similar else index
     write(out, path, files_per_partition, "zstd", level, block_mb)
     stored = out.with_rows(spark.read.parquet(path).select(*out.rows.columns))
     if check:

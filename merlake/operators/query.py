@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmers import canonical_kmers
-from .index import Index, IndexParams, key_columns
+from .index import Index, IndexParams, with_key, words
 
 
 def check_z(z: int) -> int:
@@ -39,27 +38,38 @@ def word_count(k: int, z: int) -> Column:
 
 def prepare(seqs: DataFrame, params: IndexParams, z: int) -> DataFrame:
     """(qid, pos, key..) of the k-mers to look up.  K-mers with other letters than ACGT never match."""
-    own = canonical_kmers(long_enough(seqs, params.k, z), params.k, ["qid"])
-    return own.select("qid", "pos", *[c.alias(name) for name, c in key_columns(params, F.col("kmer")).items()])
+    own = words(long_enough(seqs, params.k, z), params.k, ["qid"])
+    return with_key(own, params)
 
 
-def lookup(index: Index, words: DataFrame) -> DataFrame:
+def lookup(index: Index, asked: DataFrame) -> DataFrame:
     """(qid, sample_idx, pos, cls) of every word in every sample that has it.
 
     An equality join: Spark broadcasts the queries' words while they are below its threshold
     and shuffles both sides by key beyond it.  The partition prunes stored indexes.
     """
-    return words.join(index.rows, index.params.key).select("qid", "sample_idx", "pos", "cls")
+    return asked.join(index.rows, index.params.key).select("qid", "sample_idx", "pos", "cls")
+
+
+#: Positions of a query that one window takes; a longer query is cut into such blocks.
+BLOCK = 1 << 14
 
 
 def window_hits(hits: DataFrame, z: int) -> DataFrame:
-    """(qid, sample_idx, pos, cls): the words of k + z bases, with the least class of their parts."""
+    """(qid, sample_idx, pos, cls): the words of k + z bases, with the least class of their parts.
+
+    A window runs over a block of positions.  Hits at the first z positions of a block are
+    also given to the block before, where they only end words that begin there.
+    """
     check_z(z)
     if z == 0:
         return hits
-    ahead = Window.partitionBy("qid", "sample_idx").orderBy("pos").rangeBetween(0, z)
-    wide = hits.select("qid", "sample_idx", "pos", F.min("cls").over(ahead).alias("cls"), F.count("*").over(ahead).alias("n"))
-    return wide.where(F.col("n") == z + 1).drop("n")
+    own = F.floor(F.col("pos") / BLOCK)
+    both = F.when((F.col("pos") % BLOCK < z) & (F.col("pos") >= BLOCK), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = hits.select("qid", "sample_idx", "pos", "cls", F.explode(both).alias("block"))
+    ahead = Window.partitionBy("qid", "sample_idx", "block").orderBy("pos").rangeBetween(0, z)
+    wide = dealt.select("qid", "sample_idx", "block", "pos", F.min("cls").over(ahead).alias("cls"), F.count("*").over(ahead).alias("n"))
+    return wide.where((F.col("n") == z + 1) & (own == F.col("block"))).select("qid", "sample_idx", "pos", "cls")
 
 
 def score(hits: DataFrame, seqs: DataFrame, index: Index, z: int, positions: bool = False, threshold: float | None = None) -> DataFrame:
@@ -74,13 +84,13 @@ def score(hits: DataFrame, seqs: DataFrame, index: Index, z: int, positions: boo
     if positions:
         aggregates.append(F.array_sort(F.collect_list(F.struct("pos", F.col("cls").cast("int").alias("cls")))).alias("found"))
     found = hits.groupBy("qid", "sample_idx").agg(*aggregates).withColumnsRenamed({"qid": "q", "sample_idx": "i"})
-    named = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("sample")) for i, s in enumerate(index.samples)])
+    ids = found.sparkSession.createDataFrame(list(enumerate(index.samples)), "sample_idx int, sample string")  # a row a sample
     asked = long_enough(seqs, index.params.k, z).select("qid", "name", word_count(index.params.k, z).alias("nbk"))
     if threshold:
-        ids = found.sparkSession.createDataFrame(list(enumerate(index.samples)), "sample_idx int, sample string")
-        joined = asked.join(found, F.col("qid") == F.col("q")).join(F.broadcast(ids), F.col("i") == F.col("sample_idx"))
+        joined = asked.join(found, F.col("qid") == F.col("q")).join(ids, F.col("i") == F.col("sample_idx"))
     else:
-        each = asked.select("qid", "name", "nbk", F.explode(named).alias("s")).select("qid", "name", "nbk", F.col("s.i").alias("sample_idx"), F.col("s.sample").alias("sample"))
+        # a row for each query and sample is the result itself; all rows of ids meet all queries
+        each = asked.withColumn("k", F.lit(0)).join(ids.withColumn("k", F.lit(0)), "k").drop("k")
         joined = each.join(found, (F.col("qid") == F.col("q")) & (F.col("sample_idx") == F.col("i")), "left")
     count = F.coalesce("count", F.lit(0)).cast("long")
     out = joined.select("qid", "name", "sample_idx", "sample", "nbk", count.alias("count"), (count / F.col("nbk")).alias("ratio"), F.floor(F.coalesce("total", F.lit(0)) / F.col("nbk")).cast("int").alias("class"), *([dense_positions(F.col("found"), F.col("nbk")).alias("positions")] if positions else []))

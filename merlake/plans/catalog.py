@@ -1,7 +1,8 @@
 """The catalog of a folder of indexes: what each is and where its rows are.
 
 The catalog is a small JSON table in the folder, read and written by Spark, so that it can
-be in any store.  Every save writes a new version beside the old one and then names it.
+be in any store.  Every save writes a new numbered version beside the old one, and the last
+whole version is the catalog, so a crash leaves the one before.
 """
 
 from __future__ import annotations
@@ -67,9 +68,8 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.entries: dict[str, Entry] = {}
-        if self._exists(f"{self.root}/catalog/CURRENT"):
-            version = spark.read.text(f"{self.root}/catalog/CURRENT").first().value
-            for r in spark.read.schema(SCHEMA).json(f"{self.root}/catalog/{version}").collect():
+        if versions := self._versions():
+            for r in spark.read.schema(SCHEMA).json(f"{self.root}/catalog/{versions[-1]}").collect():
                 self.entries[r.name] = Entry(r.name, r.path, tuple(r.samples), IndexParams(r.k, r.m, r.partitions, r.window, r.bits, r.hash), r.index_size, r.compressed, r.summary, r.engine_version)
 
     # ------------------------------------------------------------ files
@@ -87,8 +87,10 @@ class Catalog:
         return int(store.getContentSummary(at).getLength()) >> 20
 
     def _delete(self, path: str) -> None:
-        store, at = self._at(path)
-        store.delete(at, True)
+        """Delete files below the catalog's own folder; what is registered elsewhere belongs to others."""
+        if path.startswith(f"{self.root}/"):
+            store, at = self._at(path)
+            store.delete(at, True)
 
     # ------------------------------------------------------------ rows
 
@@ -112,17 +114,23 @@ class Catalog:
         rows = self.spark.read.parquet(entry.path)
         return Index(entry.params, entry.samples, rows.select(*entry.params.key, "sample_idx", "cls"))
 
+    def _versions(self) -> list[str]:
+        """The whole versions of the catalog, oldest first.  A version is whole when Spark has
+        marked its folder, so one that was being written when a session died is not seen."""
+        store, at = self._at(f"{self.root}/catalog")
+        if not store.exists(at):
+            return []
+        names = [f.getPath().getName() for f in store.listStatus(at) if f.isDirectory()]
+        return sorted(n for n in names if self._exists(f"{self.root}/catalog/{n}/_SUCCESS"))
+
     def save(self) -> None:
-        version = uuid.uuid4().hex
+        """Write the next version; the last one stays beside it, older ones go."""
+        before = self._versions()
+        number = int(before[-1].split("-")[0]) + 1 if before else 0
         rows = [self.entries[n].row() for n in self.names()]
-        self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.json(f"{self.root}/catalog/{version}")
-        store, at = self._at(f"{self.root}/catalog/CURRENT.new")
-        out = store.create(at, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, final = self._at(f"{self.root}/catalog/CURRENT")
-        store.delete(final, False)
-        store.rename(at, final)
+        self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.json(f"{self.root}/catalog/{number:012d}-{uuid.uuid4().hex[:8]}")
+        for old in before[:-1]:
+            self._delete(f"{self.root}/catalog/{old}")
 
     def infos(self, with_path: bool = True) -> dict:
         out = {"index": {n: self.entries[n].infos(False) for n in self.names()}}
@@ -141,11 +149,11 @@ class Catalog:
 
     # ------------------------------------------------------------ changes
 
-    def add(self, index: Index, name: str, files_per_partition: int = 1) -> Entry:
-        """Store an index in the folder and register it."""
+    def add(self, index: Index, name: str, files_per_partition: int | None = None, path: str | None = None) -> Entry:
+        """Store an index in the folder, or at ``path``, and register it."""
         if self.has(name):
             raise InvalidIndex(f"index {name!r} is there already")
-        path = f"{self.root}/{name}"
+        path = path or f"{self.root}/{name}"
         ix.write(index, path, files_per_partition)
         self.entries[name] = Entry(name, path, index.samples, index.params, self.size_mb(path))
         self.save()
@@ -174,7 +182,7 @@ class Catalog:
                 if not moved and mode == "move":
                     raise InvalidIndex(f"{source.path} can't be moved to {path}")
             if not moved:
-                self.spark.read.parquet(source.path).write.partitionBy("part").parquet(path)
+                ix.write(Index(source.params, source.samples, self.spark.read.parquet(source.path)), path)
         self.entries[name] = replace(source, name=name, path=path)
         self.save()
         return self.entries[name]
@@ -186,8 +194,9 @@ class Catalog:
         if delete:
             self._delete(entry.path)
 
-    def merge(self, names: list[str], new_name: str, form: str | None = None, ids: list[str] | None = None, delete: bool = False) -> Entry:
-        """Merge registered indexes, of equal parameters and not compressed, under a new name."""
+    def merge(self, names: list[str], new_name: str, form: str | None = None, ids: list[str] | None = None, delete: bool = False, new_path: str | None = None) -> Entry:
+        """Merge registered indexes, of equal parameters and not compressed, under a new name; the rows
+        are stored in the folder or at ``new_path``."""
         if len(names) < 2:
             raise InvalidIndex("merging takes two indexes or more")
         entries = [self.get(n) for n in names]
@@ -195,33 +204,40 @@ class Catalog:
             raise InvalidIndex("indexes of different parameters can't be merged")
         if any(e.compressed for e in entries):
             raise InvalidIndex("compressed indexes can't be merged")
-        out = self.add(merge_indexes([self.open(n) for n in names], form, ids), new_name)
+        out = self.add(merge_indexes([self.open(n) for n in names], form, ids), new_name, path=new_path)
         for n in names if delete else []:
             self.remove(n, True)
         return out
 
-    def compress(self, name: str, level: int = 6, block_mb: int = 8, similar: bool = False, check: bool = False, delete: bool = False) -> Entry:
-        """Rewrite an index with zstandard; the old files go only if asked."""
+    def compress(self, name: str, level: int = 6, block_mb: int = 8, similar: bool = False, check: bool = False, delete: bool = False, sampling: int = 20_000, group: int = 0) -> Entry:
+        """Rewrite an index with zstandard; the old files go only if asked, and only the catalog's own."""
         entry = self.get(name)
         if entry.compressed:
             raise InvalidIndex(f"index {name!r} is compressed already")
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        stored = layout.rewrite(self.open(name), path, level, block_mb, similar, check)
+        stored = layout.rewrite(self.open(name), path, level, block_mb, similar, check, None, sampling, group)
         self.entries[name] = replace(entry, path=path, samples=stored.samples, compressed=True, index_size=self.size_mb(path))
         self.save()
         if delete:
             self._delete(entry.path)
         return self.entries[name]
 
-    def summarise(self, name: str, correct: bool = False, seed: int = 0) -> Entry:
-        """Store an index's sample counts, corrected for false hits if asked."""
+    def summarise(self, name: str, correct: bool = False, seed: int = 0, share: float = 0.0, words: int = 10_000) -> Entry:
+        """Store an index's sample counts, less the ``share`` of samples expected to be false; with
+        ``correct``, the share that ``words`` random k-mers find."""
         entry = self.get(name)
         if entry.compressed:
             raise InvalidIndex("a compressed index can't be summarised")
         index = self.open(name)
-        share = summary.estimate_correction(index, seed=seed) if correct else 0.0
+        if not 0 <= share <= 1:
+            raise InvalidIndex(f"the share must be between 0 and 1, not {share}")
+        share = summary.estimate_correction(index, words + index.params.k - 1, seed) if correct else share
         path = f"{self.root}/{name}-sums-{uuid.uuid4().hex[:8]}"
-        summary.summarise(index, share).repartition("part").sortWithinPartitions(*index.params.key).write.partitionBy("part").parquet(path)
+        sums = summary.summarise(index, share)
+        files = ix.files_for(index.rows.count(), index.params.partitions)
+        key = index.params.key[1]
+        dealt = sums.repartition(index.params.partitions * files, F.col("part"), F.pmod(F.xxhash64(key), F.lit(files)))
+        dealt.sortWithinPartitions(*index.params.key).write.partitionBy("part").parquet(path)
         self.entries[name] = replace(entry, summary=path)
         self.save()
         return self.entries[name]

@@ -5,15 +5,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import IndexParams, bloom_window
 from ..operators.query import check_ratio, check_z, merge_records, query_many
 from ..operators.summary import query_summary
 from ..sources.samples import read_names, read_registrations, read_sample_list, read_samples
-from ..sources.sequences import read_sequences, with_ids
+from ..sources.sequences import numbered, read_sequences, with_ids
 from . import formats
 from .catalog import MODES, Catalog, InvalidIndex
 from .service import make_server
@@ -55,14 +56,16 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--zvalue", type=int, default=0)
         p.add_argument("--threshold", type=float, default=0.0)
         p.add_argument("--output", required=True)
-        p.add_argument("--format", default="json")
+        p.add_argument("--format", default="json", help="json, matrix, json_vec, jsonl or jsonl_vec; json makes one document an index, so large results are better written as lines")
         p.add_argument("--single-query", help="all records are one query of this name")
-        p.add_argument("--batches", type=int, default=0)
+        p.add_argument("--batch-size", type=int, default=0, help="queries a batch; 0 for no batches")
+        p.add_argument("--aggregate", action="store_true", help="unite the results of the batches")
 
     p = command("merge", "merge indexes")
     p.add_argument("--to-merge", required=True, help="a,b,c")
     p.add_argument("--new-name", required=True)
     p.add_argument("--rename", help="a form with {}, or f:file with an id a line")
+    p.add_argument("--new-path", help="where to store the merged rows")
     p.add_argument("--delete-old", action="store_true")
 
     command("index-infos", "what the catalog has")
@@ -72,15 +75,20 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--level", type=int, default=6)
     p.add_argument("--block-size", type=int, default=8)
     p.add_argument("--reorder", action="store_true")
+    p.add_argument("--sampling", type=int, default=20_000, help="keys that the order is made from")
+    p.add_argument("--column-per-block", type=int, default=0, help="reorder within groups of so many samples, a multiple of 8")
     p.add_argument("--check", action="store_true")
     p.add_argument("--delete", action="store_true")
 
     p = command("sum-index", "store sample counts")
     p.add_argument("--name", required=True)
-    p.add_argument("--correction", action="store_true")
+    p.add_argument("--fp-correction", type=float, default=0.0, help="share of samples expected to be false")
+    p.add_argument("--estimate-correction", action="store_true", help="estimate that share")
+    p.add_argument("--nbk", type=int, default=10_000, help="random k-mers for the estimate")
 
     p = command("sum-query", "sample counts of each k-mer")
-    p.add_argument("--name", required=True)
+    p.add_argument("--names", default="", help="a,b,c or @file; all that have sample counts if not given")
+    p.add_argument("--zvalue", type=int, default=0, help="not used: counts are of k-mers")
     p.add_argument("--fastx", required=True, nargs="+")
     p.add_argument("--output", required=True)
 
@@ -95,7 +103,7 @@ def _query(spark: SparkSession, catalog: Catalog, a: argparse.Namespace) -> None
     names = catalog.select(read_names(spark, a.names) if a.names else None)
     form = formats.known_format(a.format)
     vectors = form.endswith("_vec")
-    seqs = with_ids(read_sequences(spark, a.fastx)).select("qid", "name", "seq")
+    seqs = (numbered if a.batch_size else with_ids)(read_sequences(spark, a.fastx)).select("qid", "name", "seq")
     for abundance in (False, True):
         own = [n for n in names if (catalog.get(n).params.bits > 1) == abundance]
         if not own:
@@ -104,7 +112,7 @@ def _query(spark: SparkSession, catalog: Catalog, a: argparse.Namespace) -> None
         if a.single_query:
             scores = merge_records(scores, ["index"], abundance, vectors).withColumns({"qid": F.lit(0).cast("long"), "name": F.lit(a.single_query)})
         at = a.output + ("-abundance" if abundance and len(own) < len(names) else "")
-        formats.write_results(scores, at, form, {n: list(catalog.get(n).samples) for n in own}, a.threshold, abundance, a.batches)
+        formats.write_results(scores, at, form, {n: list(catalog.get(n).samples) for n in own}, a.threshold, abundance, a.batch_size, a.aggregate)
 
 
 def _register(spark: SparkSession, catalog: Catalog, a: argparse.Namespace) -> None:
@@ -136,19 +144,22 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             _query(spark, catalog, a)
         elif a.command == "merge":
             ids = read_names(spark, f"@{a.rename[2:]}") if a.rename and a.rename.startswith("f:") else None
-            catalog.merge(a.to_merge.split(","), a.new_name, None if ids else a.rename, ids, a.delete_old)
+            catalog.merge(a.to_merge.split(","), a.new_name, None if ids else a.rename, ids, a.delete_old, a.new_path)
         elif a.command == "index-infos":
             print(json.dumps(catalog.infos(), indent=2))
             for group in catalog.mergeable():
                 print("can be merged:", ", ".join(group), file=sys.stderr)
         elif a.command == "compress":
-            catalog.compress(a.name, a.level, a.block_size, a.reorder, a.check, a.delete)
+            catalog.compress(a.name, a.level, a.block_size, a.reorder, a.check, a.delete, a.sampling, a.column_per_block)
         elif a.command == "sum-index":
-            catalog.summarise(a.name, a.correction)
+            catalog.summarise(a.name, a.estimate_correction, share=a.fp_correction, words=a.nbk)
         elif a.command == "sum-query":
             seqs = with_ids(read_sequences(spark, a.fastx))
-            counts = query_summary(catalog.open(a.name), catalog.sums(a.name), seqs)
-            formats.summary_jsonl(counts, a.name).select("value").write.mode("overwrite").text(a.output)
+            asked = catalog.select(read_names(spark, a.names)) if a.names else [n for n in catalog.names() if catalog.get(n).summary]
+            if not asked:
+                raise InvalidIndex("no index has sample counts")
+            lines = [formats.summary_jsonl(query_summary(catalog.open(n), catalog.sums(n), seqs), n).withColumn("index", F.lit(n)) for n in asked]
+            reduce(DataFrame.unionByName, lines).select("index", "value").write.mode("overwrite").partitionBy("index").text(a.output)
         elif a.command == "serve":
             make_server(catalog, a.host, a.port).serve_forever()
     except (InvalidIndex, ValueError) as e:

@@ -1,8 +1,9 @@
 """Output formats of query results.
 
 Scores are the rows of ``operators.query``.  Presence and abundance differ in what a sample
-maps to: its ratio, or its class.  Every format but the matrix keeps rows of at least the
-threshold ratio.
+maps to: its ratio, or its class.  The formats keep rows of at least the threshold ratio, but
+the matrix and, of abundances, the line formats keep all; vectors have the ratio beside them,
+but in abundance lines.
 """
 
 from __future__ import annotations
@@ -19,41 +20,43 @@ def known_format(name: str) -> str:
     return name if name in NAMES else "json"
 
 
-def _value(abundance: bool, vectors: bool) -> Column:
+def _value(abundance: bool, vectors: bool, lines: bool) -> Column:
     if not vectors:
         return F.col("class") if abundance else F.col("ratio")
+    if abundance and lines:
+        return F.struct(F.col("class").alias("C"), F.col("positions").alias("P"))
     if abundance:
         return F.struct(F.col("class").alias("C"), F.col("positions").alias("P"), F.col("ratio").alias("R"))
     return F.struct(F.col("positions").alias("P"), F.col("ratio").alias("R"))
 
 
-def sample_maps(scores: DataFrame, threshold: float = 0.0, abundance: bool = False, vectors: bool = False, by: tuple[str, ...] = ("index", "qid", "name")) -> DataFrame:
+def sample_maps(scores: DataFrame, threshold: float = 0.0, abundance: bool = False, vectors: bool = False, by: tuple[str, ...] = ("index", "qid", "name"), lines: bool = False) -> DataFrame:
     """``by`` and samples, a map of sample to value, of every query; the map may be empty.
 
     Samples are in alphabetical order.
     """
-    keep = F.col("ratio") >= threshold
-    entries = F.array_sort(F.collect_list(F.when(keep, F.struct(F.col("sample").alias("key"), _value(abundance, vectors).alias("value")))))
+    keep = F.lit(True) if lines and abundance else F.col("ratio") >= threshold
+    entries = F.array_sort(F.collect_list(F.when(keep, F.struct(F.col("sample").alias("key"), _value(abundance, vectors, lines).alias("value")))))
     return scores.groupBy(*by).agg(F.map_from_entries(entries).alias("samples"))
 
 
 def to_jsonl(scores: DataFrame, threshold: float = 0.0, abundance: bool = False, vectors: bool = False) -> DataFrame:
     """(index, qid, value): one JSON object a query with index, query and samples."""
-    maps = sample_maps(scores, threshold, abundance, vectors)
+    maps = sample_maps(scores, threshold, abundance, vectors, lines=True)
     return maps.select("index", "qid", F.to_json(F.struct("index", F.col("name").alias("query"), "samples")).alias("value"))
 
 
-def to_json(scores: DataFrame, threshold: float = 0.0, abundance: bool = False, vectors: bool = False) -> DataFrame:
-    """(index, value): one JSON object an index, of query names to their samples.
+def to_json(scores: DataFrame, threshold: float = 0.0, abundance: bool = False, vectors: bool = False, by: tuple[str, ...] = ("index",)) -> DataFrame:
+    """(*by, value): one JSON object an index, of query names to their samples; ``by`` may add a batch.
 
     Of queries with one name the last stays.  A document is one value, so this format is for
     results that a reader can hold; larger ones are written as lines.
     """
-    maps = sample_maps(scores, threshold, abundance, vectors)
-    last = maps.groupBy("index", "name").agg(F.max_by("samples", "qid").alias("samples"))
+    maps = sample_maps(scores, threshold, abundance, vectors, (*by, "qid", "name"))
+    last = maps.groupBy(*by, "name").agg(F.max_by("samples", "qid").alias("samples"))
     entries = F.array_sort(F.collect_list(F.struct(F.col("name").alias("key"), F.to_json("samples").alias("value"))))
     members = F.array_join(F.transform(entries, lambda e: F.concat(_quoted(e.key), F.lit(":"), e.value)), ",")
-    return last.groupBy("index").agg(members.alias("m")).select("index", F.concat(F.lit("{"), _quoted(F.col("index")), F.lit(":{"), "m", F.lit("}}")).alias("value"))
+    return last.groupBy(*by).agg(members.alias("m")).select(*by, F.concat(F.lit("{"), _quoted(F.col("index")), F.lit(":{"), "m", F.lit("}}")).alias("value"))
 
 
 def _quoted(text: Column) -> Column:
@@ -80,22 +83,31 @@ def summary_jsonl(counts: DataFrame, index: str) -> DataFrame:
     return counts.select("qid", F.to_json(F.struct(F.lit(index).alias("index"), F.col("name").alias("query"), F.col("counts").alias("abs"))).alias("value"))
 
 
-def write_results(scores: DataFrame, path: str, form: str, samples: dict[str, list[str]] | None = None, threshold: float = 0.0, abundance: bool = False, batches: int = 0) -> None:
-    """Write results as text files, by index; with ``batches``, also by that many query batches."""
+def write_results(scores: DataFrame, path: str, form: str, samples: dict[str, list[str]] | None = None, threshold: float = 0.0, abundance: bool = False, batch_size: int = 0, aggregate: bool = False) -> None:
+    """Write results as text files, by index; with ``batch_size``, also by batches of so many queries.
+
+    Batches are runs of qid, which should count from 0.  Files are ranges of qid, so one index's
+    results are not one task's work.  ``aggregate`` unites the batches of an index again:
+    lines are concatenated (the matrix with one header), and documents merged into one.
+    """
     form = known_format(form)
-    vectors = form.endswith("_vec")
+    vectors, spark = form.endswith("_vec"), scores.sparkSession
+    batch = F.floor(F.col("qid") / batch_size) if batch_size and not aggregate else F.lit(0).cast("long")
     if form.startswith("jsonl"):
-        lines = to_jsonl(scores, threshold, abundance, vectors)
+        lines = to_jsonl(scores, threshold, abundance, vectors).withColumn("batch", batch)
     elif form.startswith("json"):
-        lines = to_json(scores, threshold, abundance, vectors).withColumn("qid", F.lit(0).cast("long"))
+        each = scores.withColumn("batch", batch)
+        lines = to_json(each, threshold, abundance, vectors, ("batch", "index")).withColumn("qid", F.lit(0).cast("long"))
     else:
         lines = None
         for name, ids in sorted((samples or {}).items()):
-            own = matrix_lines(scores.where(F.col("index") == name), list(ids), name, abundance).withColumn("index", F.lit(name))
+            own = matrix_lines(scores.where(F.col("index") == name), list(ids), name, abundance).withColumn("index", F.lit(name)).withColumn("batch", batch)
+            if batch_size and not aggregate:  # a header a batch
+                heads = own.where("qid >= 0").select("batch").distinct().join(own.where("qid < 0").select("qid", "value", "index"))
+                own = own.where("qid >= 0").unionByName(heads)
             lines = own if lines is None else lines.unionByName(own)
         if lines is None:
             raise ValueError("the matrix format needs the samples of each index")
-    by = ["index"]
-    if batches:
-        lines, by = lines.withColumn("batch", F.pmod("qid", F.lit(batches))), ["batch", "index"]
-    lines.repartition(*by).sortWithinPartitions(*by, "qid").select(*by, "value").write.mode("overwrite").partitionBy(*by).text(path)
+    by = ["batch", "index"] if batch_size and not aggregate else ["index"]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(tasks, *by, "qid").sortWithinPartitions(*by, "qid").select(*by, "value").write.mode("overwrite").partitionBy(*by).text(path)

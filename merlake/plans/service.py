@@ -27,6 +27,8 @@ def parse_request(payload: str) -> dict:
         raise InvalidRequest("the request must be an object")
     if not isinstance(data.get("index"), list) or not data["index"] or not all(isinstance(x, str) for x in data["index"]):
         raise InvalidRequest("index must be a list of names")
+    if "id" not in data:
+        raise InvalidRequest("id is missing")
     if ("seq" in data) == ("fastx" in data):
         raise InvalidRequest("give either seq or fastx")
     seqs = data.get("seq")
@@ -43,7 +45,7 @@ def parse_request(payload: str) -> dict:
     form = data.get("format", "json")
     if form not in ("json", "json_vec", "tsv"):
         raise InvalidRequest("format must be json, json_vec or tsv")
-    return {"index": data["index"], "id": str(data.get("id", "query")), "seq": seqs, "fastx": data.get("fastx"), "z": z, "r": r, "format": form}
+    return {"index": data["index"], "id": str(data["id"]), "seq": seqs, "fastx": data.get("fastx"), "z": z, "r": r, "format": form}
 
 
 def answer(catalog: Catalog, request: dict) -> tuple[str, str]:

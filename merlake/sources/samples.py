@@ -29,7 +29,7 @@ def read_samples(spark: SparkSession, samples: DataFrame) -> DataFrame:
     seqs = read_sequences(spark, paths)
     short = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:/+", "/"), "%20", " ")
     where = spark.createDataFrame(owners, "file string, sample_idx int").withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
-    return seqs.withColumn("file", short).join(F.broadcast(where), "file").select("sample_idx", "name", "seq")
+    return seqs.withColumn("file", short).join(where, "file").select("sample_idx", "name", "seq")
 
 
 def read_names(spark: SparkSession, names: str) -> list[str]:

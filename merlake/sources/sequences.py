@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.encode import both_trim
@@ -36,11 +36,19 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, name, seq) of every record of four lines; qualities are ignored.
 
-    A record is found by its separator line: lines are numbered in their file, so files are
-    read whole, one a task.
+    Files are split between lines.  What a line is, its number in the file tells: the lines
+    of each split are counted first, and the counts (a row a split) say where it begins.
     """
-    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return _fastq(whole, ["path"])
+    read = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("m"))
+    splits = read.groupBy("path", "start").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select(F.col("path").alias("p"), F.col("start").alias("s"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    lines = read.join(begins, (F.col("path") == F.col("p")) & (F.col("start") == F.col("s"))).select("path", "value", (F.col("m") - F.col("first") + F.col("before")).alias("line"))
+    kind = F.col("line") % 4
+    own = lines.where(kind < 2).groupBy("path", F.floor(F.col("line") / 4).alias("record"))
+    text = lambda k: F.max(F.when(kind == k, F.regexp_replace("value", "\r$", "")))
+    records = own.agg(text(0).alias("head"), text(1).alias("seq")).where("startswith(head, '@') and seq is not null")
+    return records.select("path", F.element_at(F.split(F.substr("head", F.lit(2)), r"\s+"), 1).alias("name"), F.upper(both_trim(F.col("seq"))).alias("seq"))
 
 
 def _fastq(whole: DataFrame, keep: list[str]) -> DataFrame:
@@ -88,3 +96,16 @@ def random_sequence(spark: SparkSession, n: int, seed: int = 0, pieces: int = 1)
 def with_ids(seqs: DataFrame) -> DataFrame:
     """The rows with a unique qid: record names may repeat, so they can't be keys."""
     return seqs.withColumn("qid", F.monotonically_increasing_id())
+
+
+def numbered(seqs: DataFrame) -> DataFrame:
+    """The rows with qid counting from 0, for batches of a fixed size.
+
+    Rows are counted by partition first, so no task holds more than its own.
+    """
+    own = seqs.withColumn("__m", F.monotonically_increasing_id())
+    part = F.shiftright("__m", 33)
+    sizes = own.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))  # a row a partition
+    joined = own.withColumn("__q", part).join(before, F.col("__q") == F.col("__p"))
+    return joined.withColumn("qid", F.col("__b") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__p", "__q", "__b")

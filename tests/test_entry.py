@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-CHOSEN = ["kmer_packed", "kmer_hash_cell", "kmer_hardmin", "index_masks", "query_pa_z4", "query_pa_bloom", "query_abs_positions", "query_single_abs", "query_multi_index", "query_json", "query_json_vec", "query_matrix_abs", "sum_index_corrected", "sum_query", "merge_rename_format", "merge_conflicts", "compress_roundtrip", "source_fasta"]
+CHOSEN = ["kmer_packed", "kmer_partition", "kmer_hash_cell", "index_masks", "query_pa_z4", "query_pa_bloom", "query_abs_positions", "query_multi_index", "query_jsonl_abs", "query_json_vec", "query_json_vec_abs", "query_jsonl_vec_abs", "query_matrix_abs", "service_query", "payload_query", "streamed_query", "packed_classes", "sum_query", "merge_rename_ids", "merge_conflicts", "mergeable_groups", "catalog_register", "source_fastq"]
 
 
 def _plain(value):

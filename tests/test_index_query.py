@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from merlake.functions.encode import word_of
 from merlake.operators import index as ix
 from merlake.operators import layout, merge, query, summary
 from merlake.operators.index import IndexParams
@@ -69,15 +70,22 @@ def test_threshold_and_hard_min(data, tables):
     assert got == {k: v[1] for k, v in want.items()} and got
 
 
-def test_restricted_index_answers_the_same(data, tables):
-    from merlake.functions.kmers import canonical_kmers
+@pytest.mark.parametrize("hashed", ["xxhash64", "xxh64", "md5"])
+def test_long_kmers(data, tables, hashed):
+    """k beyond what a long holds, in both forms."""
+    samples, queries = data
+    rows = [r["count"] for window in (0, 1 << 20) for r in query.query(ix.build(tables[0], list(samples), IndexParams(33, 5, 3, window, hash=hashed)), tables[1], 1).orderBy("qid", "sample").collect()]
+    words = lambda s: {min(w, _rc(w)) for w in (s[i : i + 34] for i in range(len(s) - 33)) if set(w) <= set("ACGT")}
+    want = [sum(s[i : i + 34] in x or _rc(s[i : i + 34]) in x for i in range(len(s) - 33)) for _, s in queries if len(s) >= 34 for x in ["|".join([*own, *map(_rc, own)]) for own in samples.values()]]
+    assert words and rows == want + want
 
-    params = IndexParams(K, 5, 3, bits=2)
-    whole, own = (ix.build(tables[0], list(data[0]), params, only=o) for o in (None, canonical_kmers(tables[1], K, [])))
-    a, b = (sorted(map(str, query.query(i, tables[1], 1).collect())) for i in (whole, own))
-    assert a == b
-    with pytest.raises(ValueError):
-        ix.build(tables[0], ["a"], IndexParams(K, 5, 3, 100), only=tables[1])
+
+def test_windows_over_blocks(data, tables, monkeypatch):
+    """Queries longer than a block of positions."""
+    monkeypatch.setattr(query, "BLOCK", 10)
+    index = ix.build(tables[0], list(data[0]), IndexParams(K, 5, 3, bits=2))
+    got = {(r.qid, r["sample"]): (r.nbk, r["count"], r["class"], list(r.positions)) for r in query.query(index, tables[1], 3, positions=True).collect()}
+    assert got == _brute(*data, 3, 2)
 
 
 def test_bloom_has_no_false_negatives(data, tables):
@@ -103,7 +111,7 @@ def test_summary_and_masks(data, tables):
     index = ix.build(tables[0], list(data[0]), IndexParams(K, 5, 3))
     want = Counter(w for own in data[0].values() for w in {x for s in own for x in _canon(s) if x})
     sums = summary.summarise(index)
-    assert {r.kmer: r.n_samples for r in sums.collect()} == want
+    assert {r.w: r.n_samples for r in sums.withColumn("w", word_of(F.col("kmer"), K)).collect()} == want
     got = {r.qid: list(r.counts) for r in summary.query_summary(index, sums, tables[1]).collect()}
     assert got == {q: [want.get(w, 0) for w in _canon(s)] for q, (_, s) in enumerate(data[1]) if len(s) >= K + 1}
     with pytest.raises(ValueError):
@@ -137,6 +145,10 @@ def test_rewrite_keeps_answers(data, tables, tmp_path):
     assert a == b and sorted(stored.samples) == sorted(index.samples)
     with pytest.raises(ValueError):
         layout.rewrite(index, "x", level=23)
+    assert layout.similar_order(index, 500, 8) == layout.similar_order(index, 500) and sorted(layout.similar_order(index)) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        layout.similar_order(index, group=5)
+    assert ix.files_for(10**9, 4) == 63 and ix.files_for(0, 4) == 1
 
 
 def test_empty_inputs(spark, data, tables):
@@ -147,7 +159,7 @@ def test_empty_inputs(spark, data, tables):
     assert query.query(full, spark.createDataFrame([], "qid long, name string, seq string"), 1).count() == 0
 
 
-@pytest.mark.parametrize("bad", [{"k": 7}, {"k": 256}, {"k": 20, "m": 21}, {"k": 20, "partitions": 0}, {"k": 20, "bits": 9}])
+@pytest.mark.parametrize("bad", [{"k": 7}, {"k": 256}, {"k": 20, "m": 21}, {"k": 20, "partitions": 0}, {"k": 20, "bits": 9}, {"k": 20, "hash": "crc"}])
 def test_bad_parameters(bad):
     with pytest.raises(ValueError):
         IndexParams(**bad)

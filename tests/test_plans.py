@@ -4,8 +4,10 @@ import gzip
 import json
 import random
 import threading
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from merlake.operators.index import IndexParams
 from merlake.plans import client, formats, service
@@ -72,9 +74,14 @@ def test_catalog(spark, folder, catalog, capsys):
     assert ["both", "pa", "pa2"] in Catalog(spark, root).mergeable()
     assert run(spark, ["compress", "-i", root, "--name", "pa2", "--check", "--reorder", "--delete"]) == 0
     assert run(spark, ["sum-index", "-i", root, "--name", "pa2"]) == 1
-    assert run(spark, ["sum-index", "-i", root, "--name", "pa", "--correction"]) == 0
+    assert run(spark, ["sum-index", "-i", root, "--name", "pa", "--estimate-correction", "--nbk", "500"]) == 0
+    assert run(spark, ["sum-index", "-i", root, "--name", "pa", "--fp-correction", "1.5"]) == 1
+    assert run(spark, ["sum-index", "-i", root, "--name", "pa", "--fp-correction", "0.6"]) == 0
+    assert {r.n_samples for r in Catalog(spark, root).sums("pa").select("n_samples").distinct().collect()} <= {0, 1}
     assert run(spark, ["sum-index", "-i", root, "--name", "exact"]) == 0
-    assert run(spark, ["sum-query", "-i", root, "--name", "exact", "--fastx", f"{folder}/query.fa", "--output", f"{folder}/sums"]) == 0
+    assert run(spark, ["sum-query", "-i", root, "--names", "exact", "--fastx", f"{folder}/query.fa", "--output", f"{folder}/sums"]) == 0
+    assert run(spark, ["sum-query", "-i", root, "--fastx", f"{folder}/query.fa", "--output", f"{folder}/all-sums"]) == 0
+    assert {r["index"] for r in spark.read.text(f"{folder}/all-sums").collect()} == {"exact", "pa"}
     lines = [json.loads(r.value) for r in spark.read.text(f"{folder}/sums").collect()]
     assert sorted((x["query"], len(x["abs"]), set(x["abs"]) == {1}) for x in lines) == [("q1", 40, True), ("q1", 60, True), ("q2", 80, True)]
     other = f"{folder}/other"
@@ -86,6 +93,14 @@ def test_catalog(spark, folder, catalog, capsys):
     assert '"nb_samples": 2' in capsys.readouterr().out
     Catalog(spark, other).remove("copied", delete=True)
     assert Catalog(spark, other).names() == ["linked"]
+    # what is registered from elsewhere isn't deleted with its entry
+    Catalog(spark, other).remove("linked", delete=True)
+    assert Catalog(spark, other).names() == [] and Catalog(spark, root).open("exact").rows.count() > 0
+    # a version that was being written when its session died is not the catalog
+    before = Catalog(spark, root).names()
+    Path(f"{root}/catalog/999999999999-broken").mkdir()
+    assert Catalog(spark, root).names() == before and len(Catalog(spark, root)._versions()) <= 2
+    Path(f"{root}/catalog/999999999999-broken").rmdir()
 
 
 @pytest.mark.parametrize("form", formats.NAMES)
@@ -93,31 +108,54 @@ def test_catalog(spark, folder, catalog, capsys):
 def test_formats(spark, folder, catalog, form, name):
     out = f"{folder}/out-{form}-{name}"
     assert run(spark, ["query", "-i", catalog.root, "--names", name, "--fastx", f"{folder}/query.fa", "--zvalue", "3", "--threshold", "0.5", "--output", out, "--format", form]) == 0
-    rows = [r.value for r in spark.read.text(out).select("value").collect()]
+    # the files are in the order of their names
+    read = spark.read.text(out).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("m"))
+    rows = [r.value for r in read.orderBy(F.substring("file", 1, 10), "m").collect()]
     value = lambda ratio: ratio if name == "exact" else int(ratio)
     if form == "matrix":
         assert rows == [f"{name}\tA\tB"] + [f"{name}:{q}\t{value(a)}\t{value(b)}" for q, a, b in (("q1", 1.0, 0.0), ("q2", 0.0, 1.0), ("q1", 0.0, 1.0))]
         return
     got = [json.loads(x) for x in rows]
     if form.startswith("jsonl"):
-        assert [x["query"] for x in got] == ["q1", "q2", "q1"] and [sorted(x["samples"]) for x in got] == [["A"], ["B"], ["B"]]
+        # lines of abundances keep all samples
+        assert [x["query"] for x in got] == ["q1", "q2", "q1"] and [sorted(x["samples"]) for x in got] == ([["A"], ["B"], ["B"]] if name == "exact" else [["A", "B"]] * 3)
         first = got[1]["samples"]["B"]
     else:
         assert sorted(got[0][name]) == ["q1", "q2"]
         first = got[0][name]["q2"]["B"]
     if form.endswith("vec"):
-        assert first["P"] == [1] * 77 and first["R"] == 1.0 and ("C" in first) == (name == "abs")
+        assert first["P"] == [1] * 77 and ("C" in first) == (name == "abs") and first.get("R") == (None if (form, name) == ("jsonl_vec", "abs") else 1.0)
     else:
         assert first == 1
 
 
 def test_single_query_and_batches(spark, folder, catalog):
     out = f"{folder}/single"
-    assert run(spark, ["query2", "-i", catalog.root, "--names", "exact", "--fastx", f"{folder}/query.fa", "--output", out, "--format", "jsonl", "--single-query", "all", "--batches", "2"]) == 0
+    assert run(spark, ["query2", "-i", catalog.root, "--names", "exact", "--fastx", f"{folder}/query.fa", "--output", out, "--format", "jsonl", "--single-query", "all", "--batch-size", "2"]) == 0
     (line,) = [json.loads(r.value) for r in spark.read.text(out).select("value").collect()]
     assert line["query"] == "all" and line["samples"] == {"A": 60 / 180, "B": 120 / 180}
     assert run(spark, ["query", "-i", catalog.root, "--names", "nope", "--fastx", f"{folder}/query.fa", "--output", out]) == 1
     assert formats.known_format("what") == "json"
+    read = lambda at: sorted((str(r["batch"]) if "batch" in r else "", r.value) for r in spark.read.text(at).collect())
+    for form, whole in (("jsonl", 3), ("matrix", 4), ("json", 1)):
+        ask = ["query", "-i", catalog.root, "--names", "exact", "--fastx", f"{folder}/query.fa", "--format", form, "--batch-size", "2"]
+        assert run(spark, [*ask, "--output", f"{out}-{form}"]) == run(spark, [*ask, "--output", f"{out}-{form}-one", "--aggregate"]) == 0
+        batches, one = read(f"{out}-{form}"), read(f"{out}-{form}-one")
+        assert {b for b, _ in batches} == {"0", "1"} and len(one) == whole and len(batches) == whole + (form != "jsonl")
+
+
+def test_split_fastq(spark, folder):
+    """Records of a file that is read in many splits, with qualities that look like headers."""
+    rows = [(f"r{i}", "".join(RNG.choice("ACGT") for _ in range(30))) for i in range(400)]
+    (folder / "big.fq").write_text("".join(f"@{n} x\n{s}\n+\n{'@' * 30}\n" for n, s in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+    try:
+        seqs = sequences.read_fastq(spark, [str(folder / "big.fq"), str(folder / "c.fq.bz2")])
+        assert sorted((r.name, r.seq) for r in seqs.collect()) == sorted([*rows, ("c1", SEQS["c"])])
+        ids = [r.qid for r in sequences.numbered(seqs).collect()]
+        assert sorted(ids) == list(range(401))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_service_and_client(catalog):
@@ -139,7 +177,7 @@ def test_service_and_client(catalog):
         assert vec["B"]["P"] == [1] * 60 and vec["B"]["C"] == 1
         fastx = json.dumps({"index": ["exact"], "fastx": f">x\n{SEQS['b'][:80]}\n", "z": 1, "id": "f"})
         assert json.loads(service.handle_query(catalog, fastx)[2]) == {"exact": {"f": {"A": 0.0, "B": 1.0}}}
-        for broken in ("{", "[]", '{"index": ["exact"]}', '{"index": ["exact"], "seq": ["A"], "fastx": "x", "z": 1}', '{"index": ["exact"], "seq": ["A"]}', '{"index": ["nope"], "seq": ["A"], "z": 1}', '{"index": ["exact"], "seq": ["A"], "z": 99}'):
+        for broken in ("{", "[]", '{"index": ["exact"]}', '{"index": ["exact"], "seq": ["A"], "fastx": "x", "z": 1}', '{"index": ["exact"], "id": "x", "seq": ["A"]}', f'{{"index": ["exact"], "seq": ["{SEQS["a"]}"], "z": 1}}', '{"index": ["nope"], "seq": ["A"], "z": 1}', '{"index": ["exact"], "seq": ["A"], "z": 99}'):
             assert service.handle_query(catalog, broken)[0] == 400
     finally:
         server.shutdown()
