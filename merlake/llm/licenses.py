@@ -226,8 +226,8 @@ def _windows(docs: DataFrame, model: LicenseModel, contained: float, id_col: str
     """(doc_id, text_hash, block, at, n, words) of runs of ``n`` neighbouring lines of the blocks.
 
     A block is named by its first line, a run starts at line ``at``.  From each line the longest run goes on to the line in which a
-    template that starts in the first must have ended; each shorter run is a row too.  Only blocks of several lines that hold enough of a template have rows,
-    as no part of another can be reported.
+    template that starts in the first must have ended; each shorter run is a row too.  Runs begin and end in lines that hold a word of a template
+    which isn't a stop word.  Only blocks of several lines that hold enough of a template have rows, as no part of another can be reported.
     """
     longest = max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
     pairs = [own for _, own in _template_pairs(model)]
@@ -238,7 +238,8 @@ def _windows(docs: DataFrame, model: LicenseModel, contained: float, id_col: str
     vocabulary = F.split(F.lit(" ".join(sorted({w for own in pairs for p in own for w in p.split()}))), " ")
     own_words = F.array_intersect(F.flatten(F.transform("all", lambda x: x.w)), vocabulary)
     least = F.array(*[F.struct(F.split(F.lit(" ".join(sorted({w for p in own for w in p.split()}))), " ").alias("w"), F.lit(_least_words(own, n)).alias("n")) for own, n in zip(pairs, need, strict=True)])
-    worded = worded.select("*", own_words.alias("own")).where(F.exists(least, lambda t: F.size(F.array_intersect(F.col("own"), t.w)) >= t.n)).drop("own")
+    # (made by a generator again, else the filter would make them anew for each template)
+    worded = worded.select("*", F.explode_outer(F.array(own_words)).alias("own")).where(F.exists(least, lambda t: F.size(F.array_intersect(F.col("own"), t.w)) >= t.n)).drop("own")
     empty = lambda i: F.size(F.get("all", i)["w"]) == 0
     firsts = F.filter("all", lambda x: (F.size(x.w) > 0) & F.when(x.i == 0, True).otherwise(empty(x.i - 1)))
     lasts = F.filter("all", lambda x: (F.size(x.w) > 0) & F.when(x.i == F.size("all") - 1, True).otherwise(empty(x.i + 1)))
@@ -248,14 +249,16 @@ def _windows(docs: DataFrame, model: LicenseModel, contained: float, id_col: str
     own = F.flatten("lines")
     both = F.zip_with(own, F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     known = F.split(F.lit("\n".join(sorted(set().union(*pairs)))), "\n")
-    blocks = blocks.where("lines is not null").select("*", F.array_intersect(both, known).alias("pairs")).where(F.size("pairs") >= min(need))
+    blocks = blocks.where("lines is not null").select("*", F.explode_outer(F.array(F.array_intersect(both, known))).alias("pairs")).where(F.size("pairs") >= min(need))
     templates = F.array(*[F.struct(F.split(F.lit("\n".join(p)), "\n").alias("p"), F.lit(n).alias("n")) for p, n in zip(pairs, need, strict=True)])
     blocks = blocks.where(F.exists(templates, lambda t: F.size(F.array_intersect(F.col("pairs"), t.p)) >= t.n))
-    starts = blocks.select("doc_id", "text_hash", "block", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("at"))
+    anchors = F.split(F.lit(" ".join(sorted({w for own in pairs for p in own for w in p.split() if w not in STOP_WORDS}))), " ")
+    anchored = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.arrays_overlap(F.get("lines", i - 1), anchors))
+    starts = blocks.select("doc_id", "text_hash", "block", "lines", F.explode(anchored).alias("at"))
     starts = starts.select("doc_id", "text_hash", "block", "at", F.slice("lines", F.col("at"), F.lit(longest + 1)).alias("lines"))
     runs = starts.select("*", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("n"))
     before = F.size(F.flatten(F.slice("lines", F.lit(2), F.greatest(F.col("n") - 2, F.lit(0)))))
-    return runs.where(before < longest).select("doc_id", "text_hash", "block", (F.col("block") + F.col("at") - 1).alias("at"), "n", F.flatten(F.slice("lines", F.lit(1), F.col("n"))).alias("words"))
+    return runs.where(F.arrays_overlap(F.get("lines", F.col("n") - 1), anchors)).where(before < longest).select("doc_id", "text_hash", "block", (F.col("block") + F.col("at") - 1).alias("at"), "n", F.flatten(F.slice("lines", F.lit(1), F.col("n"))).alias("words"))
 
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
