@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir), works on all the rows that its predecessor kept,
 and returns a DataFrame; all but the last return the columns of ``documents``.  Between the
 stages the rows are written as Parquet and read again.
+
+Nulls, empty texts and repeated rows go by each operator's own rules: a null text counts as
+empty; empty texts have the score of texts without evidence, are one group of exact copies,
+are near copies of nothing, and are packed as the end id alone; rows with a null id are
+documents like others, but near-dedup keeps them all.  Extra columns are carried along
+whatever their names, and empty tables give empty ones.
 """
 
 from __future__ import annotations
