@@ -103,7 +103,8 @@ def write_results(scores: DataFrame, path: str, form: str, samples: dict[str, li
         for name, ids in sorted((samples or {}).items()):
             own = matrix_lines(scores.where(F.col("index") == name), list(ids), name, abundance).withColumn("index", F.lit(name)).withColumn("batch", batch)
             if batch_size and not aggregate:  # a header a batch
-                heads = own.where("qid >= 0").select("batch").distinct().join(own.where("qid < 0").select("qid", "value", "index"))
+                head = {"qid": F.lit(-1).cast("long"), "value": F.lit("\t".join([name, *ids])), "index": F.lit(name)}
+                heads = own.where("qid >= 0").select("batch").distinct().withColumns(head)
                 own = own.where("qid >= 0").unionByName(heads)
             lines = own if lines is None else lines.unionByName(own)
         if lines is None:
