@@ -48,6 +48,14 @@ def xxh64(rows: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def spark_xxhash64(codes: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of longs: XXH64 with seed 42."""
+    h = _turn((_P5 + np.uint64(50)) ^ (_turn(codes.view(np.uint64) * _P2, 31) * _P1), 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def hashed_bytes(k: int) -> int:
     """How many bytes of a k-mer's code are hashed: 8 below 32 letters, 16 below 64, and from
     there, as the tools do whose indexes this matches, one for each 32 letters begun."""

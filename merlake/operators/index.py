@@ -9,14 +9,17 @@ lookup prunes by partition and skips by the key's statistics.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encode import LONG_K, abundance_class, word_of
 from ..functions.hashing import HASHES, cell, partition_of
 from ..functions.kmers import canonical_codes, canonical_kmers, check_k, minimizer, with_code_minimizer
+from . import packed
 
 ENGINE_VERSION = "0.2.0"
 #: Rows of a stored index that one file should have, and of a partition's file at most a few times as many.
@@ -58,14 +61,19 @@ class IndexParams:
 
 @dataclass(frozen=True)
 class Index:
-    """Rows (part, kmer or cell, sample_idx, cls) and the samples' ids in the order of sample_idx."""
+    """Rows (part, kmer or cell, sample_idx, cls) and the samples' ids in the order of sample_idx.
+
+    ``order`` says what the tasks of the rows are: "sorted" if each has about a file's rows,
+    sorted by part, key and sample; "split" if they only aren't sorted; else "".
+    """
 
     params: IndexParams
     samples: tuple[str, ...]
     rows: DataFrame
+    order: str = ""
 
-    def with_rows(self, rows: DataFrame) -> Index:
-        return replace(self, rows=rows)
+    def with_rows(self, rows: DataFrame, order: str = "") -> Index:
+        return replace(self, rows=rows, order=order)
 
 
 def bloom_window(bloom_size: int, partitions: int) -> int:
@@ -112,7 +120,12 @@ def build(seqs: DataFrame, samples: list[str], params: IndexParams, hard_min: in
     """Index the sequences (sample_idx, seq) of ``samples``.
 
     In the Bloom form, k-mers of a sample that meet in a cell leave it the highest class.
+    K-mers that fit a long with their sample and partition are counted in whole columns
+    (``packed``), unless cells need the counts of their k-mers or the hash is ``xxh64``.
     """
+    whole = params.exact or (params.hash != "xxh64" and params.bits == 1 and hard_min == 1)
+    if params.k <= LONG_K and whole and packed.fits(params.k, len(samples), params.window, params.partitions):
+        return Index(params, tuple(samples), packed.build_rows(seqs, len(samples), params, hard_min), "sorted")
     keyed = with_key(count_kmers(seqs, params.k, hard_min), params)
     if not params.exact:
         keyed = keyed.groupBy(*params.key, "sample_idx").agg(F.max("n").alias("n"))
@@ -125,16 +138,39 @@ def files_for(rows: int, partitions: int) -> int:
     return max(1, -(-rows // (FILE_ROWS * partitions)))
 
 
+@contextmanager
+def _open_writers(spark: SparkSession, n: int) -> Iterator[None]:
+    """Spark sorts what it writes by partition unless that many files can be open at a time."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write(index: Index, path: str, files_per_partition: int | None = None, codec: str = "snappy", level: int | None = None, block_mb: int = 128) -> None:
     """Store the rows by partition, sorted by key.
 
     Partitions are split over ``files_per_partition`` files by key, so one with many k-mers
     is not one task's work.  Without that number there are as many as the rows need, which
-    are counted from a first, unsorted copy beside ``path``, and at least one for each core.
+    are counted from a first, unsorted copy beside ``path``, and at least one for each core;
+    rows whose tasks are files already (``Index.order``) are neither copied nor shuffled.
+    Keys are stored as differences.
     """
     key = index.params.key[1]
     spark = index.rows.sparkSession
     first = None
+    stored = lambda rows: rows.write.partitionBy("part").option("compression", codec).option("parquet.block.size", block_mb << 20).option("parquet.writer.version", "v2")
+    if files_per_partition is None and index.order:
+        rows = index.rows if index.order == "sorted" else index.rows.sortWithinPartitions("part", key, "sample_idx")
+        writer = stored(rows)
+        if level is not None:
+            writer = writer.option("parquet.compression.codec.zstd.level", level)
+        with _open_writers(spark, index.params.partitions):
+            writer.mode("overwrite").parquet(path)
+        return
     if files_per_partition is None:
         first = f"{path.rstrip('/')}-unsorted"
         index.rows.write.mode("overwrite").parquet(first)
@@ -142,7 +178,7 @@ def write(index: Index, path: str, files_per_partition: int | None = None, codec
         least = -(-spark.sparkContext.defaultParallelism // index.params.partitions)
         files_per_partition = max(least, files_for(index.rows.count(), index.params.partitions))
     dealt = index.rows.repartition(index.params.partitions * files_per_partition, F.col("part"), F.pmod(F.xxhash64(key), F.lit(files_per_partition)))
-    writer = dealt.sortWithinPartitions("part", key, "sample_idx").write.partitionBy("part").option("compression", codec).option("parquet.block.size", block_mb << 20)
+    writer = stored(dealt.sortWithinPartitions("part", key, "sample_idx"))
     if level is not None:
         writer = writer.option("parquet.compression.codec.zstd.level", level)
     writer.mode("overwrite").parquet(path)

@@ -112,7 +112,7 @@ class Catalog:
     def open(self, name: str) -> Index:
         entry = self.get(name)
         rows = self.spark.read.parquet(entry.path)
-        return Index(entry.params, entry.samples, rows.select(*entry.params.key, "sample_idx", "cls"))
+        return Index(entry.params, entry.samples, rows.select(*entry.params.key, "sample_idx", "cls"), "split")
 
     def _versions(self) -> list[str]:
         """The whole versions of the catalog, oldest first.  A version is whole when Spark has
