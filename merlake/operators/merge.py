@@ -53,4 +53,5 @@ def merge(indexes: list[Index], form: str | None = None, ids: list[str] | None =
         own = index.rows.withColumn("sample_idx", (F.col("sample_idx") + offset).cast("int"))
         rows = own if rows is None else rows.unionByName(own)
         offset += len(index.samples)
-    return replace(indexes[0], samples=renamed(samples, form, ids), rows=rows)
+    order = "split" if all(i.order for i in indexes) else ""
+    return replace(indexes[0], samples=renamed(samples, form, ids), rows=rows, order=order)
