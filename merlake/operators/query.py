@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import packed
 from .index import Index, IndexParams, with_key, words
 
 
@@ -45,12 +46,16 @@ def prepare(seqs: DataFrame, params: IndexParams, z: int) -> DataFrame:
 def lookup(index: Index, asked: DataFrame) -> DataFrame:
     """(qid, sample_idx, pos, cls) of every word in every sample that has it.
 
-    An equality join: Spark broadcasts the queries' words while they are below its threshold
-    and shuffles both sides by key beyond it.  The partition prunes stored indexes.
+    An equality join.  Words that ``query`` knows to be few are sent to the index, which is
+    then only scanned; others meet it in blocks of whole columns (``packed.hits_of``) or, where
+    keys are no longs, here, both sides shuffled by key.  The partition prunes stored indexes.
     """
     return asked.join(index.rows, index.params.key).select("qid", "sample_idx", "pos", "cls")
 
 
+#: Letters of all queries together up to which their words are sent to every task that scans the index.
+FEW = 1 << 18
+
 #: Positions of a query that one window takes; a longer query is cut into such blocks.
 BLOCK = 1 << 14
 
@@ -87,10 +92,10 @@ def score(hits: DataFrame, seqs: DataFrame, index: Index, z: int, positions: boo
     ids = found.sparkSession.createDataFrame(list(enumerate(index.samples)), "sample_idx int, sample string")  # a row a sample
     asked = long_enough(seqs, index.params.k, z).select("qid", "name", word_count(index.params.k, z).alias("nbk"))
     if threshold:
-        joined = asked.join(found, F.col("qid") == F.col("q")).join(ids, F.col("i") == F.col("sample_idx"))
+        joined = asked.join(found, F.col("qid") == F.col("q")).join(F.broadcast(ids), F.col("i") == F.col("sample_idx"))
     else:
         # a row for each query and sample is the result itself; all rows of ids meet all queries
-        each = asked.withColumn("k", F.lit(0)).join(ids.withColumn("k", F.lit(0)), "k").drop("k")
+        each = asked.crossJoin(F.broadcast(ids))
         joined = each.join(found, (F.col("qid") == F.col("q")) & (F.col("sample_idx") == F.col("i")), "left")
     count = F.coalesce("count", F.lit(0)).cast("long")
     out = joined.select("qid", "name", "sample_idx", "sample", "nbk", count.alias("count"), (count / F.col("nbk")).alias("ratio"), F.floor(F.coalesce("total", F.lit(0)) / F.col("nbk")).cast("int").alias("class"), *([dense_positions(F.col("found"), F.col("nbk")).alias("positions")] if positions else []))
@@ -108,7 +113,13 @@ def dense_positions(found: Column, n: Column) -> Column:
 def query(index: Index, seqs: DataFrame, z: int = 0, threshold: float = 0.0, positions: bool = False) -> DataFrame:
     """Score the sequences (qid, name, seq) against all samples of an index."""
     check_ratio(threshold)
-    hits = window_hits(lookup(index, prepare(seqs, index.params, z)), z)
+    asked = prepare(seqs, index.params, z)
+    few = (seqs.agg(F.sum(F.length("seq"))).first()[0] or 0) <= FEW
+    if not few and packed.answers(index):
+        found = packed.hits_of(index, long_enough(seqs, index.params.k, z))
+    else:
+        found = lookup(index, F.broadcast(asked) if few else asked)
+    hits = window_hits(found, z)
     return score(hits, seqs, index, z, positions, threshold)
 
 
