@@ -25,7 +25,7 @@ from ..functions.hashing import spark_xxhash64
 from ..functions.md5 import first_words
 
 #: K-mers that a task sorts at a time, letters that stay in a core's cache, keys that a task merges, about.
-FLUSH, BLOCK, MERGE = 4_000_000, 1 << 16, 10_000_000
+FLUSH, BLOCK, MERGE = 3_000_000, 1 << 16, 6_000_000
 _LETTERS = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
     _LETTERS[[ord(_c), ord(_c.lower())]] = _i
@@ -344,6 +344,14 @@ def hits_of(index, seqs: DataFrame) -> DataFrame:
         order = np.argsort(rows, kind="stable")
         rows, cls = rows[order], cls[order]
         stored_keys, samples = rows >> held, (rows & held_mask).astype(np.int32)
+        del known[0][:], rows, order
+        own_hits, size = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            qid, sample, pos, c = (np.concatenate(x) for x in zip(*own_hits))
+            order = np.argsort((qid << held) | sample)  # a sequence's hits of a sample together, which the next shuffle packs well
+            return pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (qid, sample, pos, c)], ["qid", "sample_idx", "pos", "cls"])
+
         for keys, qid, pos in known[1]:
             first = np.searchsorted(stored_keys, keys)
             n = np.searchsorted(stored_keys, keys, "right") - first
@@ -351,8 +359,13 @@ def hits_of(index, seqs: DataFrame) -> DataFrame:
                 own = n[i : i + BLOCK]
                 word = np.repeat(np.arange(i, i + len(own)), own)
                 at = np.arange(len(word)) - np.repeat(np.cumsum(own) - own, own) + first[word]
-                if len(word):
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[word]), pa.array(samples[at]), pa.array(pos[word]), pa.array(cls[at])], ["qid", "sample_idx", "pos", "cls"])
+                own_hits.append((qid[word], samples[at], pos[word], cls[at]))
+                size += len(word)
+                if size >= FLUSH // 2:
+                    yield flushed()
+                    own_hits, size = [], 0
+        if size:
+            yield flushed()
 
     schema = "task int, side int, body binary, more array<binary>"
     # places are those of letters, whatever bytes they have

@@ -60,18 +60,19 @@ FEW = 1 << 18
 BLOCK = 1 << 14
 
 
-def window_hits(hits: DataFrame, z: int) -> DataFrame:
+def window_hits(hits: DataFrame, z: int, blocks: bool = True) -> DataFrame:
     """(qid, sample_idx, pos, cls): the words of k + z bases, with the least class of their parts.
 
     A window runs over a block of positions.  Hits at the first z positions of a block are
-    also given to the block before, where they only end words that begin there.
+    also given to the block before, where they only end words that begin there.  Without
+    ``blocks`` no position is beyond the first.
     """
     check_z(z)
     if z == 0:
         return hits
     own = F.floor(F.col("pos") / BLOCK)
     both = F.when((F.col("pos") % BLOCK < z) & (F.col("pos") >= BLOCK), F.array(own, own - 1)).otherwise(F.array(own))
-    dealt = hits.select("qid", "sample_idx", "pos", "cls", F.explode(both).alias("block"))
+    dealt = hits.select("qid", "sample_idx", "pos", "cls", F.explode(both).alias("block")) if blocks else hits.withColumn("block", F.lit(0).cast("long"))
     ahead = Window.partitionBy("qid", "sample_idx", "block").orderBy("pos").rangeBetween(0, z)
     wide = dealt.select("qid", "sample_idx", "block", "pos", F.min("cls").over(ahead).alias("cls"), F.count("*").over(ahead).alias("n"))
     return wide.where((F.col("n") == z + 1) & (own == F.col("block"))).select("qid", "sample_idx", "pos", "cls")
@@ -114,12 +115,13 @@ def query(index: Index, seqs: DataFrame, z: int = 0, threshold: float = 0.0, pos
     """Score the sequences (qid, name, seq) against all samples of an index."""
     check_ratio(threshold)
     asked = prepare(seqs, index.params, z)
-    few = (seqs.agg(F.sum(F.length("seq"))).first()[0] or 0) <= FEW
+    letters, longest = (x or 0 for x in seqs.agg(F.sum(F.length("seq")), F.max(F.length("seq"))).first())
+    few = letters <= FEW
     if not few and packed.answers(index):
         found = packed.hits_of(index, long_enough(seqs, index.params.k, z))
     else:
         found = lookup(index, F.broadcast(asked) if few else asked)
-    hits = window_hits(found, z)
+    hits = window_hits(found, z, longest > BLOCK)
     return score(hits, seqs, index, z, positions, threshold)
 
 
